@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
@@ -69,37 +68,31 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def row_hash(*columns: Column) -> Column:
-    """A 63-bit hash of a row, never negative: the tie-break order of the operators."""
-    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))
+    """A uniform 63-bit hash of a row (the leading 60 bits of an MD5), the tie-break order of the operators."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long") * 8
 
 
-def prefix_sums(df: DataFrame, group: list[str], order: str, value: str, out: str, n_rows: int, bucket_rows: int = 48) -> DataFrame:
+def bucket_bits(n_rows: Column, bucket_rows: int = 48) -> Column:
+    """Leading hash bits that cut so many rows into buckets of about ``bucket_rows``."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n_rows, F.lit(1)) / bucket_rows))).cast("int")
+
+
+def prefix_sums(df: DataFrame, group: str, order: str, value: str, bits: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that stand earlier by ``order``.
 
-    ``order`` holds uniform 63-bit hashes. No group is ever gathered in one task: rows fall
-    into buckets by the leading bits of their hash, buckets into blocks of 1,024, and the
-    three levels are summed one after the other. ``n_rows`` is the count of all rows and
-    only sets the number of buckets. Equal hashes are ordered by the other columns, so
-    repeated rows get their places in any order, which cannot be told apart.
+    ``order`` holds uniform 63-bit hashes, ``group`` has no nulls. No group is gathered in
+    one task: rows fall into buckets by the leading ``bits`` (a column, equal within a
+    group) of their hash, buckets into blocks of 1,024, and the three levels are summed
+    one after the other. Rows with equal hashes come in the order of their other columns,
+    so repeated rows get their places in any order, which cannot be told apart.
     """
-    bits = max(0, math.ceil(math.log2(max(1, n_rows / bucket_rows))))
-    high = max(0, bits - 10)
-    df = df.withColumn("_bucket", F.shiftright(F.col(order), 63 - bits) if bits else F.lit(0).cast("long"))
-    rest = [c for c in df.columns if c not in (order, "_bucket", *group)]
-    sums = df.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum")).withColumn("_block", F.shiftright("_bucket", bits - high))
-    blocks = sums.groupBy(*group, "_block").agg(F.sum("_sum").alias("_all"))
-    w = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_blocks_before", F.coalesce(F.sum("_all").over(w), F.lit(0))).drop("_all")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "_block"]]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    sums = sums.alias("a").join(blocks.alias("b"), cond).select("a.*", "b._blocks_before")
-    w = Window.partitionBy(*group, "_block").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0)) + F.col("_blocks_before")).select(*group, "_bucket", "_before")
-    w = Window.partitionBy(*group, "_bucket").orderBy(order, *rest).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_in", F.coalesce(F.sum(value).over(w), F.lit(0)))
-    cond = F.col("a._bucket") == F.col("b._bucket")
-    for c in group:
-        cond = cond & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    return df.alias("a").join(sums.alias("b"), cond).select("a.*", (F.col("a._in") + F.col("b._before")).alias(out)).drop("_in", "_bucket")
+    rest = [c for c in df.columns if c not in (order, group, bits)]
+    df = df.withColumn("_ps_bucket", F.expr(f"shiftright(`{order}`, 63 - `{bits}`)"))
+    up_to = lambda keys, by: Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sums = df.groupBy(group, "_ps_bucket").agg(F.sum(value).alias("_sum"), F.first(bits).alias("_bits")).withColumn("_block", F.expr("shiftright(_ps_bucket, least(10, _bits))"))
+    blocks = sums.groupBy(group, "_block").agg(F.sum("_sum").alias("_sum")).select(group, "_block", before("_sum", up_to([group], ["_block"])).alias("_blocks_before"))
+    sums = sums.join(blocks, [group, "_block"]).select(group, "_ps_bucket", (before("_sum", up_to([group, "_block"], ["_ps_bucket"])) + F.col("_blocks_before")).alias("_ps_before"))
+    df = df.withColumn("_ps_in", before(value, up_to([group, "_ps_bucket"], [order, *rest])))
+    return df.join(sums, [group, "_ps_bucket"]).withColumn(out, F.col("_ps_in") + F.col("_ps_before")).drop("_ps_in", "_ps_before", "_ps_bucket")

@@ -1,8 +1,8 @@
 """Queries and SQL of every operator of this subpackage."""
 
-from quire.llm import decontamination, quality_rules
+from quire.llm import decontamination, mixing, quality_rules
 
-MODULES = (quality_rules, decontamination)
+MODULES = (quality_rules, decontamination, mixing)
 
 
 def queries() -> dict:

@@ -1,8 +1,8 @@
 """Queries and SQL of every operator of this subpackage."""
 
-from quire.llm import decontamination, mixing, quality_rules
+from quire.llm import decontamination, mixing, quality_rules, sharding
 
-MODULES = (quality_rules, decontamination, mixing)
+MODULES = (quality_rules, decontamination, mixing, sharding)
 
 
 def queries() -> dict:

@@ -1,8 +1,8 @@
 """Queries and SQL of every operator of this subpackage."""
 
-from quire.llm import decontamination, language_id, mixing, quality_rules, sharding
+from quire.llm import decontamination, jaccard_join, language_id, mixing, quality_rules, sharding
 
-MODULES = (quality_rules, decontamination, mixing, sharding, language_id)
+MODULES = (quality_rules, decontamination, mixing, sharding, language_id, jaccard_join)
 
 
 def queries() -> dict:

@@ -1,8 +1,8 @@
 """Queries and SQL of every operator of this subpackage."""
 
-from quire.llm import decontamination, jaccard_join, language_id, mixing, quality_rules, sharding
+from quire.llm import decontamination, jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, sharding
 
-MODULES = (quality_rules, decontamination, mixing, sharding, language_id, jaccard_join)
+MODULES = (license_scan, decontamination, mixing, sharding, quality_rules, jaccard_join, secret_scan, language_id)
 
 
 def queries() -> dict:

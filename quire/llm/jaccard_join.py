@@ -9,7 +9,9 @@ Word shingles are hashed to 64 bits; the order of the hashes is the global n-gra
    classes filed together are strung on the smallest of them. The number of fragments
    depends on the size range of the larger set, so a class is filed for its own range and
    for the next. Empty fragments prove nothing: where they leave too few others, the class
-   is filed under twice as many fragments as well, and so on.
+   is filed under twice as many fragments as well, and so on. There are some fragments to
+   spare, and each class leaves out as many, the commonest first: passages that unrelated
+   documents share make no candidates.
 3. Candidate clusters are cut into blocks of a bounded size, and every pair of blocks of a
    cluster is a task's work: the order is cut into fragments, the overlaps of all pairs
    are counted in each fragment by itself, and summed per pair. Of the linked pairs only
@@ -28,11 +30,12 @@ linked; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import checkpointed, space_words, table
@@ -40,11 +43,13 @@ from quire.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
 #: Sets of a block; a task's work is two blocks.
-BLOCK = 256
+BLOCK = 512
 #: Fragments that overlaps are counted in, one after the other.
 FRAGMENTS = 8
-#: Documents whose filings are combined before the shuffle.
-PIECE = 1024
+#: Fragments above the least number, as a share of it, and from what number on a key is just common.
+SPARE, COMMON = 0.2, 1024
+#: Documents whose filings go out together.
+PIECE = 512
 #: Members up to this number are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -81,39 +86,44 @@ class Shingler:
         return np.unique(mixed(out))
 
 
-def range_end(low: int) -> int:
-    """The least size that cannot be linked with ``low``: linked sets are of the same range or the next."""
-    return low * 100 // PERCENT + 1
+@cache
+def range_starts(percent: int) -> np.ndarray:
+    """Where ranges of set sizes start; sizes of linked sets lie in the same range or in the next."""
+    starts = [1]
+    while starts[-1] < 1 << 40:
+        starts.append(starts[-1] * 100 // percent + 1)
+    return np.array(starts)
 
 
-_RANGES = [1]
-while _RANGES[-1] < 1 << 40:
-    _RANGES.append(range_end(_RANGES[-1]))
-_RANGE_STARTS = np.array(_RANGES)
-
-
-def differences(top: int) -> int:
+def differences(top: int, percent: int) -> int:
     """Most n-grams in which two linked sets of at most ``top`` can differ."""
-    return (100 - PERCENT) * 2 * top // (100 + PERCENT)
+    return (100 - percent) * 2 * top // (100 + percent)
+
 
+def filings(hashes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that a set is filed under, and how many of the commonest of each range and level may be left out.
 
-def filings(hashes: np.ndarray) -> np.ndarray:
-    """The keys that a set is filed under."""
-    n, out = len(hashes), []
-    own = int(np.searchsorted(_RANGE_STARTS, n, side="right")) - 1
+    The last 12 bits of a key tell its range and level. Of the fragments that are not
+    empty, ``most`` at most can differ between linked sets; the rest are equal. So each of
+    two linked sets may leave out all but ``most + 1``, if both choose by the same order.
+    """
+    starts, n, keys, spare = range_starts(percent), len(hashes), [], []
+    own = int(np.searchsorted(starts, n, side="right")) - 1
     for r in (own, own + 1):
-        most = differences(int(_RANGE_STARTS[r + 1]) - 1)
-        fragments = most + 1
-        while True:
+        most = differences(int(starts[r + 1]) - 1, percent)
+        fragments = most + 1 + int(SPARE * (most + 1)) + 2
+        for level in range(16):
             # fragment = the hash's place in the order, scaled to the number of fragments
             of = ((hashes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             sums = np.add.reduceat(mixed(hashes + np.uint64(1)), first)
-            out.append(mixed(sums * _MUL[2] + of[first] * _MUL[3] + np.uint64(fragments * int(_MUL[4]) + r & 0xFFFFFFFFFFFFFFFF)))
-            if len(first) > most or len(first) == n:
+            key = mixed(sums * _MUL[2] + of[first] * _MUL[3] + np.uint64(fragments * int(_MUL[4]) + r & 0xFFFFFFFFFFFFFFFF))
+            keys.append((key & ~np.uint64(0xFFF)) | np.uint64((r & 0xFF) << 4 | level))
+            spare.append(np.full(len(key), max(0, len(key) - most - 1), np.int32))
+            if len(first) > most:
                 break
             fragments *= 2
-    return np.concatenate(out)
+    return np.concatenate(keys), np.concatenate(spare)
 
 
 def set_key(hashes: np.ndarray) -> bytes | None:
@@ -136,7 +146,7 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
 
 
-def candidate_edges(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): documents filed under the same key, each strung on the smallest; equal sets stand for each other."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,49 +154,63 @@ def candidate_edges(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _texts(batch)
             for begin in range(0, len(texts), PIECE):
-                keys, owners = [], []
+                keys, spare, owners = [], [], []
                 for k in range(begin, min(begin + PIECE, len(texts))):
                     s = own.sets(texts[k])
                     if len(s) and (key := set_key(s)) not in seen:  # copies in one task are filed once
                         seen.add(key)
-                        keys.append(filings(s).view(np.int64))
+                        filed = filings(s, percent)
+                        keys.append(filed[0].view(np.int64))
+                        spare.append(filed[1])
                         owners.append(np.full(len(keys[-1]), ids[k], np.int64))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if keys:
-                    yield combined(np.concatenate(keys), np.concatenate(owners))
-
-    def combined(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
-        """Before the shuffle: each key is filed once, its other owners become edges at once."""
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        head = owners[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-        pairs = np.unique(np.stack([owners[owners != head], head[owners != head]], axis=1), axis=0)
-        k = np.concatenate([keys[first], mixed(pairs[:, 0].view(np.uint64)).view(np.int64)])
-        d = np.concatenate([owners[first], pairs[:, 0]])
-        other = pa.array(np.concatenate([owners[first], pairs[:, 1]]), pa.int64(), mask=np.arange(len(k)) < first.sum())
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), other], names=["key", "doc_id", "other"])
-
-    filed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(file, "key long, doc_id long, other long")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, spare)], names=["key", "doc_id", "spare"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of key; keeps those whose key is found again, with its frequency up to ``COMMON``."""
+        held, flushed = [np.array([], np.int64)] * 3, False
+        for batch in batches:
+            rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            yield from counted(rows, tail := int(np.searchsorted(rows[0], rows[0][-1])), flushed)
+            flushed = flushed and tail == 0
+            held = [c[tail:] for c in rows]
+            if len(held[0]) > COMMON:  # a key that common needs no exact count
+                yield from counted([c[:-1] for c in held], len(held[0]) - 1, True)
+                held, flushed = [c[-1:] for c in held], True
+        yield from counted(held, len(held[0]), flushed)
+
+    def counted(rows: list[np.ndarray], end: int, common: bool) -> Iterator[pa.RecordBatch]:
+        """common: rows of the first key have gone out before."""
+        k = rows[0][:end]
+        if end:
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            n = np.diff(np.append(first, end))
+            n[0] = COMMON if common else n[0]
+            n = np.repeat(np.minimum(n, COMMON), np.diff(np.append(first, end)))
+            yield pa.RecordBatch.from_arrays([pa.array(x[:end][n > 1]) for x in rows[:2]] + [pa.array(rows[2][:end][n > 1].astype(np.int32)), pa.array(n[n > 1].astype(np.int32))], names=["key", "doc_id", "spare", "n"])
 
     def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of key and id; the first of a key is its smallest. Edges pass through."""
+        """Rows come in order of key and id; the first of a key is its smallest."""
         key, head = None, 0
         for batch in batches:
-            edge = np.asarray(batch.column(2).is_valid())
-            k, d = batch.column(0).to_numpy()[~edge], batch.column(1).to_numpy()[~edge]
-            ready = [np.stack([c.drop_null().to_numpy() for c in (batch.column(1).filter(pa.array(edge)), batch.column(2))], axis=1)]
+            k, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if len(k):
                 new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
                 at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
                 heads = np.where(at >= 0, d[np.maximum(at, 0)], head)
                 key, head = k[-1], heads[-1]
-                ready.append(np.stack([d[d != heads], heads[d != heads]], axis=1))
-            pairs = np.unique(np.concatenate(ready), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+                pairs = np.unique(np.stack([d[d != heads], heads[d != heads]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return filed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(string, "a long, b long").distinct()
+    filed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(file, "key long, doc_id long, spare int")
+    again = filed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, doc_id long, spare int, n int")
+    rank = F.row_number().over(Window.partitionBy("doc_id", F.expr("key & 4095")).orderBy(F.desc("n"), F.desc("key")))
+    kept = again.withColumn("_rank", rank).filter("_rank > spare").select("key", "doc_id")
+    return kept.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(string, "a long, b long").distinct()
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], fragments: int = FRAGMENTS) -> np.ndarray:
@@ -215,12 +239,12 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], fragments: int = FRAGMENT
     return total
 
 
-def spanning_links(ids_a: np.ndarray, a: list[np.ndarray], ids_b: np.ndarray, b: list[np.ndarray]) -> list[tuple[int, int]]:
+def spanning_links(ids_a: np.ndarray, a: list[np.ndarray], ids_b: np.ndarray, b: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Linked pairs between two blocks (or within one), as many as it takes to join what they join."""
     inter = overlaps(a, b)
     na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
     union = na[:, None] + nb[None, :] - inter
-    x, y = np.nonzero((100 * inter.astype(np.int64) >= PERCENT * union.astype(np.int64)) & (ids_a[:, None] != ids_b[None, :]))
+    x, y = np.nonzero((100 * inter.astype(np.int64) >= percent * union.astype(np.int64)) & (ids_a[:, None] != ids_b[None, :]))
     root: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -238,7 +262,7 @@ def spanning_links(ids_a: np.ndarray, a: list[np.ndarray], ids_b: np.ndarray, b:
     return out
 
 
-def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
+def links(docs: DataFrame, members: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): enough linked pairs to join the components of the members (doc_id, cluster, block, blocks)."""
     spark = docs.sparkSession
     small = members.select(F.col("doc_id").alias("_id"), "cluster", "block", "blocks")
@@ -263,7 +287,7 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
             for block, doc, h in dict.fromkeys(held):
                 sides[int(block != i)].append((doc, np.frombuffer(h, np.uint64)))
             a, b = sides if i != j else (sides[0], sides[0])
-            pairs = spanning_links(np.array([x[0] for x in a], np.int64), [x[1] for x in a], np.array([x[0] for x in b], np.int64), [x[1] for x in b]) if a and b else []
+            pairs = spanning_links(np.array([x[0] for x in a], np.int64), [x[1] for x in a], np.array([x[0] for x in b], np.int64), [x[1] for x in b], percent) if a and b else []
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -279,12 +303,12 @@ def links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
     return units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "doc_id").mapInArrow(work, "a long, b long")
 
 
-def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_key and component_id of every document."""
     sets = checkpointed(document_sets(docs, words))
     classes = sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"))
     heads = checkpointed(classes)
-    edges = candidate_edges(docs, words)
+    edges = candidate_edges(docs, words, percent)
     # equal sets are filed alike: edges between copies say nothing new, so ids are replaced by their class's head
     head_of = checkpointed(sets.join(heads.filter("n > 1"), "set_key").filter("doc_id != head").select("doc_id", "head").distinct())
     for end in ("a", "b"):
@@ -294,15 +318,15 @@ def join_components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     members = members.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    linked = checkpointed(links(docs, checkpointed(members), words))
+    linked = checkpointed(links(docs, checkpointed(members), words, percent))
     found = connected_components(linked)
     labels = heads.join(found, heads["head"] == found["node"], "left").select("set_key", F.coalesce("component", "head").alias("component"))
     return sets.join(labels, "set_key", "left").select("doc_id", "n_shingles", "set_key", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents of smallest id of each component, with the columns they came with; of repeated rows all stay."""
-    drop = join_components(docs, words).filter("component_id != doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
+    drop = join_components(docs, words, percent).filter("component_id != doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
     drop = checkpointed(drop)
     drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
     return docs.join(drop, docs["doc_id"] == drop["_dropped"], "left_anti")

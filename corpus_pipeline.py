@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import quality_rules
+from quire.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
 from quire.llm.common import scratch, table
 
 
@@ -13,17 +13,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group linked by shingles of five words and a similarity of 0.8."""
+    return jaccard_join.one_of_each(docs, words=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the curriculum takes, as often as it takes them."""
+    return mixing.training_stream(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and grown_shard of what is left."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources", mix),
+    ("sharding", shard),
+]
+#: Hashed tree cuts and components of links cannot be stated in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(at := scratch(spark, f"stage{k}"))
-        docs = spark.read.parquet(at)
-    return docs
+        if k + 1 < len(STAGES):
+            out.write.parquet(at := scratch(spark, f"stage{k}"))
+            docs = spark.read.parquet(at)
+    return out

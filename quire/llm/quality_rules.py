@@ -114,8 +114,13 @@ def judge(docs: DataFrame, text: str = "text", rules=THRESHOLDS, out: str = "_q"
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
-    """The rows that no rule rejects, with the columns they came with."""
-    return judge(docs, text, rules, "_quality_of_text").filter("_quality_of_text.kept").drop("_quality_of_text")
+    """The rows that no rule rejects, with the columns they came with.
+
+    The optimizer would push the filter below all projections and copy every measure into
+    it many times over; it does not push a filter below a column that is not deterministic.
+    """
+    df = judge(docs, text, rules, "_quality_of_text").withColumn("_quality_row", F.monotonically_increasing_id())
+    return df.filter(F.col("_quality_of_text.kept") & (F.col("_quality_row") >= 0)).drop("_quality_of_text", "_quality_row")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Words of the letter-and-digit rule: ASCII letters, digits and everything beyond ASCII.
 LETTER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between such words (after lower-casing).
+LETTER_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: UTF-8 byte tables: bytes beyond ASCII only occur inside words, so one table per rule is enough.
@@ -39,6 +42,22 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def lower_text(text: Column) -> Column:
+    """Lower case for telling ASCII words apart, much faster on whole texts than ``lower_ascii``.
+
+    Beyond ASCII other letters are lowered as well, which neither joins nor cuts words; only
+    the Kelvin sign would become an ASCII letter, so texts with it go the exact way.
+    """
+    return F.when(F.contains(text, F.lit("\u212a")), lower_ascii(text)).otherwise(F.lower(text))
+
+
+def among(word: Column, words: list[str], slots: int = 1024) -> Column:
+    """Whether the word is one of many: a table of checksums first, as a list is compared entry by entry."""
+    taken = {zlib.crc32(w.encode()) % slots for w in words}
+    table_ = F.expr("array(" + ",".join(str(k in taken).lower() for k in range(slots)) + ")")
+    return F.get(table_, F.pmod(F.crc32(word.cast("binary")), F.lit(slots)).cast("int")) & word.isin(*words)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import LETTER_WORD, lower_ascii, table
+from quire.llm.common import LETTER_GAP, among, lower_text, table
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -62,12 +62,12 @@ def vocabulary(templates=TEMPLATES) -> list[str]:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(LETTER_WORD), F.lit(0))
+    return F.array_remove(F.split(lower_text(F.coalesce(text, F.lit(""))), LETTER_GAP), "")
 
 
 def document_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many texts each licence word occurs. One row per word of the vocabulary comes back."""
-    held = F.array_distinct(F.filter(words_of(F.col("text")), lambda w: w.isin(*words)))
+    held = F.array_distinct(F.filter(words_of(F.col("text")), lambda w: among(w, words)))
     return {r["w"]: r["n"] for r in docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
@@ -110,9 +110,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> Da
     phrases = sorted({p for _, ps in templates.values() for p in ps} | set(BASE))
     rarest = sorted({p.split()[rarest_first(p.split(), rarity)[0]] for p in phrases})
     df = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
-    df = df.withColumn("_anchors", F.array_distinct(F.filter("_words", lambda w: w.isin(*rarest))))
+    df = df.withColumn("_anchors", F.array_distinct(F.filter("_words", lambda w: among(w, rarest))))
     # the index of a text is only built if it has the rarest word of some phrase
-    indexed = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: h["w"].isin(*words))
+    indexed = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: among(h["w"], words))
     df = df.select("doc_id", F.size("_words").cast("long").alias("n_words"), "_anchors", F.when(F.size("_anchors") > 0, indexed).otherwise(F.array().cast("array<struct<w:string,i:int>>")).alias("_hits"))
     df = df.withColumns({f"_p{k}": phrase_starts("_hits", "_anchors", p, rarity) for k, p in enumerate(phrases)})
     at = lambda p: F.col(f"_p{phrases.index(p)}")

@@ -207,7 +207,7 @@ def expand_journal_abbreviations(c: Column) -> Column:
 
 
 def journal_tokens(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(ascii_words(clean_for_match(expand_journal_abbreviations(c))), lambda w: ~w.isin(JOURNAL_STOPWORDS))))
+    return F.array_sort(F.array_distinct(F.filter(ascii_words(clean_for_match(c)), lambda w: ~w.isin(JOURNAL_STOPWORDS))))
 
 
 def title_fingerprint(c: Column) -> Column:

@@ -41,9 +41,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import checkpointed, table
 
 LENGTH, GRAM = 400, 128
-GROUP_BYTES = 24 << 20
-#: Rows (texts with anchors, or with spans) up to which they are broadcast to the scan of the texts.
-BROADCAST_BYTES = 96 << 20
+GROUP_BYTES = 12 << 20
+#: Contexts that are sorted together, if their groups are small.
+SORT_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -103,28 +103,40 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 
 
 class Suffixes:
-    """Suffixes of contexts that begin at their anchors."""
+    """Suffixes of contexts that begin at their anchors.
+
+    Powers count from the beginning of each context, so their tables stay as short as the
+    longest context; the sums run over all contexts in place.
+    """
 
     def __init__(self, contexts: list[bytes], before: np.ndarray):
         self.size = np.array([len(c) for c in contexts], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
         self.buffer = b"".join(contexts)
         self.data = np.frombuffer(self.buffer, np.uint8)
-        self.prefix = prefix_hashes(self.data)
-        self.down = POWERS.upto(len(self.data))[1]
-        self.anchor = self.begin + before
+        up, self.down = POWERS.upto(int(self.size.max(initial=0)))
+        self.prefix = np.zeros(len(self.data) + 1, np.uint64)
+        terms = self.prefix[1:]
+        terms[:] = self.data
+        terms += np.uint64(1)
+        for b, n in zip(self.begin.tolist(), self.size.tolist(), strict=True):
+            terms[b : b + n] *= up[:n]
+        np.cumsum(terms, out=terms)
         self.before, self.after = before, self.size - before
+        self.anchor = self.begin + before
 
-    def hash(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.prefix[at + length] - self.prefix[at]) * self.down[at]
+    def hash(self, row: np.ndarray, offset: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Hash of ``length`` bytes of each row's context, from ``offset`` on."""
+        at = self.begin[row] + offset
+        return (self.prefix[at + length] - self.prefix[at]) * self.down[offset]
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common extension of pairs of suffixes, by binary search over prefix hashes."""
         low, high = np.zeros(len(x), np.int64), np.minimum(self.after[x], self.after[y])
-        ax, ay = self.anchor[x], self.anchor[y]
+        ax, ay = self.before[x], self.before[y]
         while (open_ := low < high).any():
             mid = (low + high + 1) // 2
-            same = self.hash(ax, mid) == self.hash(ay, mid)
+            same = self.hash(x, ax, mid) == self.hash(y, ay, mid)
             low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
         return low
 
@@ -187,7 +199,7 @@ def repeated_starts(group: np.ndarray, contexts: list[bytes], pos: np.ndarray, l
             continue
         right = np.cumsum(fresh | (extension < length - r))[rows]
         x = order[rows]
-        left = s.hash(s.anchor[x] - r, np.full(len(x), r))
+        left = s.hash(x, s.before[x] - r, np.full(len(x), r))
         by = np.lexsort((left, right))
         same = (right[by][1:] == right[by][:-1]) & (left[by][1:] == left[by][:-1])
         first = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(by)), 0))
@@ -284,11 +296,11 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return found.repartition("anchor").sortWithinPartitions("anchor", "text_key", "place").mapInArrow(again, "anchor long, text_key long, place long")
 
 
-def _by_text(docs: DataFrame, rows: DataFrame, column: str, n_bytes: int) -> DataFrame:
+def _by_text(docs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     """text, text_key and the gathered column of the texts that the rows (text_key, column) name."""
     keyed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", _key_column("text"))
     packed = rows.groupBy("text_key").agg(F.collect_list(column).alias(column))
-    return keyed.join(F.broadcast(packed) if n_bytes <= BROADCAST_BYTES else packed, "text_key")
+    return keyed.join(packed, "text_key")
 
 
 def _key_column(text: str):
@@ -299,32 +311,63 @@ def _key_column(text: str):
     return key(F.col(text))
 
 
-def contexts(docs: DataFrame, found: DataFrame, n_found: int, length: int = LENGTH) -> DataFrame:
-    """anchor, text_key, place and the bytes that its windows span, of every shared anchor."""
+def contexts(docs: DataFrame, found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """anchor, text_key, place and the bytes that its windows span, of every shared anchor.
+
+    Equal contexts of a task are sent once. The runs of starts that this settles go along
+    without bytes, as place (first << 32 | last).
+    """
     rows = found.select("text_key", F.struct("anchor", "place").alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        #: contexts of this task: where the first of equal ones stands, or None once that is known to be repeated
+        first_at: dict[bytes, tuple[int, int, int] | None] = {}
         for batch in batches:
             out: list[list] = [[], [], [], []]
+
+            def add(*row, out=out) -> None:
+                for c, v in zip(out, row, strict=True):
+                    c.append(v)
+
             for key, text, at in zip(batch.column(0).to_pylist(), _texts(batch, 1), batch.column(2).to_pylist(), strict=True):
                 if key in seen:
                     continue
                 seen.add(key)
+                known: list[tuple[int, int]] = []
                 for x in at:
-                    pos, low = _unpack(x["place"])[:2]
-                    high = low + (x["place"] & 1023)
-                    for c, v in zip(out, (x["anchor"], key, x["place"], text[low : high + length]), strict=True):
-                        c.append(v)
-                if len(out[0]) >= 8192:
-                    yield _rows(out)
-                    out = [[], [], [], []]
+                    pos, low, span = _unpack(x["place"])
+                    data = text[low : low + span + length]
+                    same = xxhash.xxh128_digest(data + b"%d" % (pos - low))
+                    if same not in first_at:
+                        first_at[same] = (key, low, low + span)
+                        add(x["anchor"], key, x["place"], data)
+                        continue
+                    # an equal context: all windows of both are repeated, and one of them stands for both
+                    if (one := first_at[same]) is not None:
+                        add(one[0], one[0], one[1] << 32 | one[2], None)
+                        first_at[same] = None
+                    known.append((low, low + span))
+                for low, high in _merged(known):
+                    add(key, key, low << 32 | high, None)
+            if len(first_at) > 400_000:
+                first_at.clear()
             yield _rows(out)
 
     def _rows(out: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "text_key", "place", "bytes"])
 
-    return _by_text(docs, rows, "at", n_found * 20).select("text_key", "text", "at").mapInArrow(cut, "anchor long, text_key long, place long, bytes binary")
+    return _by_text(docs, rows, "at").select("text_key", "text", "at").mapInArrow(cut, "anchor long, text_key long, place long, bytes binary")
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for low, high in sorted(runs):
+        if out and low <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    return out
 
 
 def _unpack(place):
@@ -339,8 +382,11 @@ def resolve(cut: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes:
         held: list[tuple] = []
         size, large = 0, None
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and (row[0] != held[-1][0]) and size > 4 << 20:
+            settled = batch.filter(batch.column(3).is_null())
+            place = settled.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([settled.column(1), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF), pa.nulls(len(place), pa.int64())], names=["text_key", "first", "last", "window"])
+            for row in zip(*[c.to_pylist() for c in batch.filter(batch.column(3).is_valid()).columns], strict=True):
+                if held and (row[0] != held[-1][0]) and size > SORT_BYTES:
                     yield from solved(held)
                     held, size = [], 0
                 if row[0] == large:
@@ -395,7 +441,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     texts = checkpointed(text_table(docs))
     copied = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
     found = checkpointed(shared_anchors(docs, length, gram))
-    runs = checkpointed(resolve(contexts(docs, found, found.count(), length), length, gram, group_bytes))
+    runs = checkpointed(resolve(contexts(docs, found, length), length, gram, group_bytes))
     whole = runs.filter("window IS NULL").select("text_key", "first", "last")
     single = runs.filter("window IS NOT NULL")
     twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
@@ -419,7 +465,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["text_key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    partly = _by_text(docs, starts.select("text_key", F.struct("first", "last").alias("span")), "span", starts.count() * 24).select("text_key", "text", "span").mapInArrow(cut, "text_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    partly = _by_text(docs, starts.select("text_key", F.struct("first", "last").alias("span")), "span").select("text_key", "text", "span").mapInArrow(cut, "text_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     partly = partly.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept")])
     j = texts.join(copied.filter(F.col("copies") > 1), "text_key", "left").join(partly, "text_key", "left")
     all_ = F.col("copies").isNotNull() & (F.col("n_bytes") >= length)

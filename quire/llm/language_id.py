@@ -89,6 +89,9 @@ class Trees:
 
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
         self.languages, self.order = sorted(texts), order
+        self.gram, self.cost, self.context, self.escape = [], [], [], []
+        if not self.languages:
+            return
         n = len(self.languages)
         counts: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
         for k in range(order + 1):
@@ -96,7 +99,6 @@ class Trees:
             for lang in self.languages:
                 keys = np.concatenate([grams(np.frombuffer(t, np.uint8), k) for t in texts[lang] if t] or [np.array([], np.uint64)])
                 counts[k][lang] = np.unique(keys, return_counts=True)
-        self.gram, self.cost, self.context, self.escape = [], [], [], []
         for k in range(order + 1):
             keys = np.unique(np.concatenate([counts[k][lang][0] for lang in self.languages]))
             contexts = np.unique(keys >> np.uint64(8))

@@ -106,7 +106,11 @@ def compile_rules(rules=THRESHOLDS, source: str = "_q") -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules=THRESHOLDS, out: str = "_q") -> DataFrame:
-    """Adds struct ``out``: the measures, ``base_failed`` and ``kept``."""
+    """Adds struct ``out``: the measures, ``base_failed`` and ``kept``.
+
+    To keep the good rows use ``keep_good``: a filter right on this struct would be pushed
+    below the projections and copy the measures into itself.
+    """
     df = with_measures(docs, text, out)
     q = lambda c: F.col(f"{out}.{c}")
     base = (q("n_words") < 50) | (100 * q("n_repeat_words") > 50 * q("n_words"))

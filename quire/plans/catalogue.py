@@ -168,6 +168,11 @@ def _titles(r: Roles) -> DataFrame:
 add("ascii_fold", lambda r: _titles(r).select("doc_id", X.ascii_fold(F.col("t")).alias("folded")), "SELECT doc_id, " + _FOLD.format(c=_TITLE) + " AS folded FROM documents")
 add("clean_for_match", lambda r: _titles(r).select("doc_id", X.clean_for_match(F.col("t")).alias("cleaned")), "SELECT doc_id, " + _CLEAN.format(c=_TITLE) + " AS cleaned FROM documents")
 add("compact_key", lambda r: _titles(r).select("doc_id", X.compact_key(F.col("t")).alias("k"), X.hyphen_key(F.col("t")).alias("h")), "WITH c AS (SELECT doc_id, " + _CLEAN.format(c=_TITLE) + " AS c FROM documents) SELECT doc_id, regexp_replace(c, '[^a-z0-9]', '', 'g') AS k, array_to_string(regexp_extract_all(c, '[a-z0-9]+'), '-') AS h FROM c")
+# The three above keep the SQL of the first 80 characters they were given with; these three take the whole text.
+_WHOLE = "coalesce(text, '')"
+add("ascii_fold_whole", lambda r: r.table("documents").select("doc_id", X.ascii_fold(F.col("text")).alias("folded")), "SELECT doc_id, " + _FOLD.format(c="text") + " AS folded FROM documents")
+add("clean_for_match_whole", lambda r: r.table("documents").select("doc_id", X.clean_for_match(F.col("text")).alias("cleaned")), "SELECT doc_id, " + _CLEAN.format(c=_WHOLE) + " AS cleaned FROM documents")
+add("compact_key_whole", lambda r: r.table("documents").select("doc_id", X.compact_key(F.col("text")).alias("k"), X.hyphen_key(F.col("text")).alias("h")), "WITH c AS (SELECT doc_id, " + _CLEAN.format(c=_WHOLE) + " AS c FROM documents) SELECT doc_id, regexp_replace(c, '[^a-z0-9]', '', 'g') AS k, array_to_string(regexp_extract_all(c, '[a-z0-9]+'), '-') AS h FROM c")
 add("abbrev_expand", lambda r: r.table("part").select("p_partkey", X.expand_journal_abbreviations(F.concat_ws(" ", F.lit("Trans Int J"), "p_name", F.lit("Syst"))).alias("expanded")), "SELECT p_partkey, 'transactions international journal ' || p_name || ' systems' AS expanded FROM part")
 add("initialisms", lambda r: r.table("part").select("p_partkey", F.array_join(X.derived_initialisms(F.concat_ws(" ", F.lit("ACM Conference on the"), "p_name")), ",").alias("found")), "WITH w AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS ws FROM part), i AS (SELECT p_partkey, array_to_string(list_transform(ws, lambda x: x[1:1]), '') AS s, len(ws) AS n FROM w) SELECT p_partkey, CASE WHEN n >= 1 THEN 'ac' || s || ',c' || s ELSE '' END AS found FROM i")
 add("acronyms", lambda r: r.table("part").select("p_partkey", F.array_join(X.acronym_candidates(F.concat(F.lit("HLT-NAACL "), "p_type", F.lit(" x Yz"))), ",").alias("found")), "SELECT p_partkey, array_to_string(list_sort(list_distinct(['hltnaacl', 'hlt', 'naacl', lower(p_type)])), ',') AS found FROM part")

@@ -47,7 +47,7 @@ def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], seq: str
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], seq: str, updated: list[str], kept_id: str) -> DataFrame:
-    """Last new row per key wins for ``updated``; rows that are there keep their id; new ones go on from the greatest."""
+    """Last new row per key wins for ``updated``; rows that are there keep their id; new ones get a null id."""
     n, o = last_wins(new, keys, seq).alias("n"), existing.alias("o")
     on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys]
     cond = on[0]

@@ -134,6 +134,8 @@ add("fact_venue_map", lambda r: etl.load_facts(r.papers.join(r.conferences.selec
 add("link_resolution", lambda r: etl.resolve_links(r.table("lineitem").join(r.authors, F.col("l_suppkey") == F.col("author_id")).select(F.col("l_orderkey").cast("string").alias("raw_id"), F.col("name").alias("author_name"), F.col("l_linenumber").alias("author_order")), r.papers.filter("type = 'journal'").select(F.col("paper_id").cast("string").alias("raw_id"), "paper_id"), r.authors.select(F.col("name").alias("name_exact"), "author_id")), P + "SELECT paper_id, author_id, author_order FROM links JOIN papers USING (paper_id) WHERE type = 'journal'")
 add("insert_ignore", lambda r: etl.insert_ignore(r.authors.filter("author_id < 20"), r.authors.withColumn("name", F.concat("name", F.lit("+"))), ["author_id"], "name"), P + "SELECT author_id, CASE WHEN author_id < 20 THEN name ELSE name || '+' END AS name FROM authors")
 add("upsert_last_wins", lambda r: etl.upsert(r.papers.filter("paper_id < 100").select(F.col("paper_id").alias("id"), F.col("paper_id").cast("string").alias("raw_id"), "year"), r.table("lineitem").filter("l_orderkey < 150").select(F.col("l_orderkey").cast("string").alias("raw_id"), F.col("l_linenumber").alias("year")), ["raw_id"], "year", ["year"], "id"), P + ", n AS (SELECT l_orderkey AS k, max(l_linenumber) AS y FROM lineitem WHERE l_orderkey < 150 GROUP BY 1), o AS (SELECT paper_id, year FROM papers WHERE paper_id < 100) SELECT o.paper_id AS id, coalesce(n.k, o.paper_id)::VARCHAR AS raw_id, coalesce(n.y, o.year) AS year FROM o FULL JOIN n ON o.paper_id = n.k")
+# upsert_last_wins keeps the id ranges of its SQL; this one has papers of one status as the existing side and all lines as the new side.
+add("upsert_whole", lambda r: etl.upsert(r.papers.filter("conf_id IS NOT NULL").select(F.col("paper_id").alias("id"), F.col("paper_id").cast("string").alias("raw_id"), "year"), r.table("lineitem").select(F.col("l_orderkey").cast("string").alias("raw_id"), F.col("l_linenumber").alias("year")), ["raw_id"], "year", ["year"], "id"), P + ", n AS (SELECT l_orderkey AS k, max(l_linenumber) AS y FROM lineitem GROUP BY 1), o AS (SELECT paper_id, year FROM papers WHERE conf_id IS NOT NULL) SELECT o.paper_id AS id, coalesce(n.k, o.paper_id)::VARCHAR AS raw_id, coalesce(n.y, o.year) AS year FROM o FULL JOIN n ON o.paper_id = n.k")
 add("backfill_where_null", lambda r: etl.backfill(r.journals.select("journal_id", "best_quartile"), r.journals.filter("journal_id % 2 = 0").select("journal_id", F.lit("Q9").alias("best_quartile")), "journal_id", "best_quartile"), P + "SELECT journal_id, CASE WHEN best_quartile IS NULL AND journal_id % 2 = 0 THEN 'Q9' ELSE best_quartile END AS best_quartile FROM journals")
 add("update_by_join", lambda r: etl.update_from(r.papers.select("paper_id", "journal_id"), r.papers.filter("paper_id % 4 = 0").select("paper_id", (F.col("paper_id") + 1).alias("journal_id")), "paper_id", "journal_id"), P + "SELECT paper_id, CASE WHEN paper_id % 4 = 0 THEN paper_id + 1 ELSE journal_id END AS journal_id FROM papers")
 add("audit_replace", lambda r: etl.audit_replace(r.conferences.select(F.lit("2026-01-01").alias("run_date"), F.col("title").alias("normalized_name"), F.lit("old").alias("stage")), r.conferences.filter("conf_id % 3 = 0").select(F.lit("2026-01-01").alias("run_date"), F.col("title").alias("normalized_name"), F.lit("new").alias("stage")), ["run_date", "normalized_name"]), P + "SELECT '2026-01-01' AS run_date, title AS normalized_name, CASE WHEN conf_id % 3 = 0 THEN 'new' ELSE 'old' END AS stage, sha1('2026-01-01|' || title)[1:16] AS id FROM conferences")

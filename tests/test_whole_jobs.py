@@ -10,3 +10,10 @@ def test_text_functions_reach_the_end_of_a_long_text(spark, tmp_path, name, colu
     spark.createDataFrame([(1, "x" * 500 + " Élan & a/B"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r[column] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
     assert got == {1: "x" * 500 + tail, 2: ""}
+
+
+def test_upsert_sees_every_line_and_paper_of_its_sides(spark, sf):
+    keys = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    got = catalogue.queries()["upsert_whole"](spark, sf)
+    assert got.count() >= keys > 1000
+    assert 0 < got.filter("id IS NULL").count() < keys

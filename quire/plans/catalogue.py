@@ -153,6 +153,11 @@ add(
     lambda r: etl.merge_sources([r.conferences.filter(f"conf_id % {m} = 0").select(F.col("title").alias("acronym"), F.when(F.col("conf_id") % 4 != 0, F.col("rank")).otherwise(" ").alias("rank"), F.lit(f" c{m} ").alias("code"), F.col("conf_id").alias("line_no")) for m in (2, 3)], ["acronym"], "code").select("acronym", "rank", F.array_join("code", ",").alias("code"), "sources"),
     P + "SELECT title AS acronym, CASE WHEN conf_id % 4 != 0 THEN rank END AS rank, CASE WHEN conf_id % 6 = 0 THEN 'c2,c3' WHEN conf_id % 2 = 0 THEN 'c2' ELSE 'c3' END AS code, CASE WHEN conf_id % 6 = 0 THEN '0+1' WHEN conf_id % 2 = 0 THEN '0' ELSE '1' END AS sources FROM conferences WHERE conf_id % 2 = 0 OR conf_id % 3 = 0",
 )
+add(
+    "merge_sources_whole",
+    lambda r: etl.merge_sources([x.select(F.col("title").alias("acronym"), F.when(F.col("conf_id") % 4 != 0, F.col("rank")).otherwise(" ").alias("rank"), F.lit(code).alias("code"), F.col("conf_id").alias("line_no")) for x, code in ((r.conferences, " c1 "), (r.conferences.filter("conf_id % 3 = 0"), " c3 "))], ["acronym"], "code").select("acronym", "rank", F.array_join("code", ",").alias("code"), "sources"),
+    P + "SELECT title AS acronym, CASE WHEN conf_id % 4 != 0 THEN rank END AS rank, CASE WHEN conf_id % 3 = 0 THEN 'c1,c3' ELSE 'c1' END AS code, CASE WHEN conf_id % 3 = 0 THEN '0+1' ELSE '0' END AS sources FROM conferences",
+)
 add("override_precedence", lambda r: etl.override(r.conferences.select("title", F.lit("memory").alias("action")), r.conferences.filter("conf_id % 5 = 0").select("title", F.lit("manual").alias("action")), "title"), P + "SELECT title, CASE WHEN conf_id % 5 = 0 THEN 'manual' ELSE 'memory' END AS action FROM conferences")
 add("distinct_union", lambda r: etl.distinct_union(r.authors.select("name"), r.authors.filter("author_id > 3").select("name")), P + "SELECT name FROM authors GROUP BY 1")
 
@@ -189,10 +194,15 @@ add("match_stage", lambda r: r.table("part").select("p_partkey", X.match_stage(F
 # --- matching ------------------------------------------------------------------------
 
 
-def _names(r: Roles) -> DataFrame:
-    """Names with case, wrapper and year noise around the titles of every third venue, and some of nobody."""
+def _noisy(r: Roles, conferences: DataFrame) -> DataFrame:
+    """Names with case, wrapper and year noise around the titles of the venues, and some of nobody."""
     noisy = F.when(F.col("conf_id") % 2 == 0, F.concat(F.lit("Proceedings of the 1998 "), F.upper("title"))).otherwise(F.concat("title", F.lit("!")))
-    return r.conferences.filter("conf_id % 3 = 0").select(noisy.alias("name")).unionByName(r.authors.select("name"))
+    return conferences.select(noisy.alias("name")).unionByName(r.authors.select("name"))
+
+
+def _names(r: Roles) -> DataFrame:
+    """Names of every third venue, as the SQL of match_decision has them."""
+    return _noisy(r, r.conferences.filter("conf_id % 3 = 0"))
 
 
 def _venues(r: Roles) -> DataFrame:
@@ -200,6 +210,7 @@ def _venues(r: Roles) -> DataFrame:
 
 
 add("match_decision", lambda r: matching.match_venues(_names(r), _venues(r)).select("name", "status", "venue_id", "match_type"), P + ", n AS (SELECT CASE WHEN conf_id % 2 = 0 THEN 'Proceedings of the 1998 ' || upper(title) ELSE title || '!' END AS name, conf_id FROM conferences WHERE conf_id % 3 = 0) SELECT name, 'matched' AS status, conf_id AS venue_id, 'exact-title' AS match_type FROM n UNION ALL SELECT name, 'unmatched', NULL, 'unmatched' FROM authors")
+add("match_decision_whole", lambda r: matching.match_venues(_noisy(r, r.conferences), _venues(r)).select("name", "status", "venue_id", "match_type"), P + ", n AS (SELECT CASE WHEN conf_id % 2 = 0 THEN 'Proceedings of the 1998 ' || upper(title) ELSE title || '!' END AS name, conf_id FROM conferences) SELECT name, 'matched' AS status, conf_id AS venue_id, 'exact-title' AS match_type FROM n UNION ALL SELECT name, 'unmatched', NULL, 'unmatched' FROM authors")
 add("contains_join", lambda r: matching.contained_names(r.table("part").select(F.split("p_name", " ")[0].alias("name")).distinct(), r.journals.select(F.col("journal_id").alias("venue_id"), "title")).select("name", "venue_id"), "SELECT n.name, p_partkey AS venue_id FROM (SELECT DISTINCT string_split(p_name, ' ')[1] AS name FROM part) n JOIN part ON contains(lower(p_name), lower(n.name)) AND lower(p_name) != lower(n.name) WHERE length(n.name) >= 5")
 _TOK = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
 add("token_overlap_join", lambda r: matching.overlapping_names(r.journals.select(F.concat_ws(" ", "title", F.lit("extra")).alias("name")).distinct(), r.journals.select(F.col("journal_id").alias("venue_id"), "title"), 0.6).select("name", "venue_id", F.round("score", 6).alias("score")), P + f", n AS (SELECT DISTINCT title || ' extra' AS name FROM journals), m AS (SELECT name, journal_id AS venue_id, len(list_intersect({_TOK.format(c='name')}, {_TOK.format(c='title')})) / greatest(len({_TOK.format(c='name')}), len({_TOK.format(c='title')})) AS s FROM n, journals) SELECT name, venue_id, round(0.80::DOUBLE + s * 0.10::DOUBLE, 6) AS score FROM m WHERE s >= 0.6")
@@ -208,6 +219,6 @@ add("top2_margin", lambda r: matching.ranked(r.papers.filter("conf_id IS NOT NUL
 add("stage_metrics", lambda r: matching.stage_metrics(r.papers.select(F.when(F.col("conf_id").isNotNull(), "exact-title").otherwise("unmatched").alias("match_type"), F.when(F.col("conf_id").isNotNull(), "matched").otherwise("unmatched").alias("status"), F.lit(2).alias("n"))), P + "SELECT CASE WHEN conf_id IS NOT NULL THEN 'exact normalized local match' ELSE 'conservative fuzzy fallback' END AS stage, CASE WHEN conf_id IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS status, count(*) AS names, 2 * count(*)::BIGINT AS row_count FROM papers GROUP BY 1, 2")
 add("regression_diff", lambda r: matching.regression(r.papers.select(F.col("title").alias("name"), F.col("conf_id").alias("venue_id")), r.papers.filter("paper_id % 10 != 0").select(F.col("title").alias("name"), F.col("conf_id").alias("venue_id"))), P + "SELECT title AS name, conf_id AS previous_id FROM papers WHERE conf_id IS NOT NULL AND paper_id % 10 = 0")
 add("registry_build", lambda r: matching.build_registry(r.papers.join(r.conferences.select("conf_id", F.col("title").alias("booktitle"), "rank"), "conf_id").select("booktitle", F.concat_ws("/", F.lit("conf"), "rank", "title").alias("key"))), None)
-add("review_pivot", lambda r: matching.review_rows(matching.indexed_candidates(_names(r), matching.build_index(_venues(r)))), None)
+add("review_pivot", lambda r: matching.review_rows(matching.indexed_candidates(_noisy(r, r.conferences), matching.build_index(_venues(r)))), None)
 add("audit_sample", lambda r: matching.audit_sample(r.papers.filter("conf_id IS NOT NULL").groupBy(F.col("conf_id").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))), None)
 add("rate_limit", lambda r: over_limit(r.table("events"), 1, "1 day").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")), "SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1")

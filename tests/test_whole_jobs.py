@@ -17,3 +17,9 @@ def test_upsert_sees_every_line_and_paper_of_its_sides(spark, sf):
     got = catalogue.queries()["upsert_whole"](spark, sf)
     assert got.count() >= keys > 1000
     assert 0 < got.filter("id IS NULL").count() < keys
+
+
+@pytest.mark.parametrize("name, column", [("match_decision_whole", "venue_id"), ("review_pivot", "candidate_1_venue_id"), ("merge_sources_whole", "acronym")])
+def test_every_conference_is_matched_reviewed_and_merged(spark, sf, name, column):
+    conferences = spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert catalogue.queries()[name](spark, sf).filter(f"{column} IS NOT NULL").select(column).distinct().count() == conferences

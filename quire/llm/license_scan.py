@@ -32,19 +32,33 @@ from quire.llm.common import LETTER_GAP, among, lower_text, table
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label: (template, mandatory phrases). Notices in common use, cut to their opening words.
+#: label, or label/variant: (template, mandatory phrases). Notices in common use, cut to the words that tell them; a
+#: label counts if any of its variants does.
 TEMPLATES = {
     "agpl-3.0": ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license", ["gnu affero general public license"]),
     "apache-2.0": ("licensed under the apache license version 2 0", ["apache license version 2 0"]),
-    "bsd-3-clause": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    "bsd-3-clause": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "names of its contributors may be used to endorse or promote products"]),
+    "bsd-3-clause/author": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "name of the author may not be used to endorse or promote products"]),
     "cc-by-4.0": ("this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    "cc-by-nc-4.0/deed": ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial 4 0"]),
     "cc-by-nc-4.0": ("licensed under cc by nc 4 0", ["cc by nc 4 0"]),
+    "cc-by-sa-4.0/deed": ("this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike 4 0"]),
     "cc-by-sa-4.0": ("licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     "cc0-1.0": ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright"]),
+    "gpl-2.0/header": ("gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license as published by the free software foundation either version 2 of the license"]),
+    "gpl-2.0/only": ("gnu general public license as published by the free software foundation version 2", ["gnu general public license as published by the free software foundation version 2"]),
+    "gpl-2.0/named": ("under the terms of the gnu general public license version 2 as published by the free software foundation", ["gnu general public license version 2"]),
+    "gpl-2.0/text": ("gnu general public license version 2 june 1991", ["gnu general public license version 2"]),
     "gpl-2.0": ("this work is licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+    "gpl-3.0/header": ("gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license as published by the free software foundation either version 3 of the license"]),
+    "gpl-3.0/only": ("gnu general public license as published by the free software foundation version 3", ["gnu general public license as published by the free software foundation version 3"]),
+    "gpl-3.0/named": ("under the terms of the gnu general public license version 3 as published by the free software foundation", ["gnu general public license version 3"]),
+    "gpl-3.0/text": ("gnu general public license version 3 29 june 2007", ["gnu general public license version 3"]),
     "gpl-3.0": ("this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["distribute this software for any purpose"]),
-    "lgpl-3.0": ("this library is free software under the terms of the gnu lesser general public license version 3", ["gnu lesser general public license"]),
+    "lgpl-3.0": ("this library is free software under the terms of the gnu lesser general public license version 3", ["gnu lesser general public license version 3"]),
+    "lgpl-3.0/header": ("gnu lesser general public license as published by the free software foundation either version 3 of the license", ["gnu lesser general public license as published by the free software foundation either version 3 of the license"]),
+    "lgpl-3.0/text": ("gnu lesser general public license version 3 29 june 2007", ["gnu lesser general public license version 3"]),
     "mit-notice": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
     "mit-release": ("released under the mit license", ["mit license"]),
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
@@ -126,7 +140,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> Da
     stands = {label: F.col(f"_t{k}") for k, label in enumerate(votes)}
     base = F.flatten(F.array(*[at(p) for p in BASE]))
     base_labels = [F.when(F.size(at(p)) > 0, F.lit(label)) for p, label in BASE.items()]
-    own = [F.when(c >= coverage, F.lit(label)) for label, c in stands.items()]
+    own = [F.when(c >= coverage, F.lit(label.split("/")[0])) for label, c in stands.items()]
     joined = lambda cs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*cs)))), ",")
     score = F.greatest(*[F.when(c >= coverage, c).otherwise(0.0) for c in stands.values()], F.when(F.size(base) > 0, F.lit(1.0)).otherwise(0.0))
     return df.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base).cast("long").alias("first_word"), F.array_max(base).cast("long").alias("last_word"), joined(base_labels).alias("base_labels"), joined(base_labels + own).alias("labels"), score.alias("score"))

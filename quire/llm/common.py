@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -67,7 +69,8 @@ def work_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    at = "file://" + os.path.join(tempfile.gettempdir(), f"quire-{os.getpid()}")
+    at = "file://" + (folder := os.path.join(tempfile.gettempdir(), f"quire-{os.getpid()}"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", at)
     return at
 
@@ -86,6 +89,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: survives lost executors, compressed, read by column."""
+    df.write.parquet(at := scratch(df.sparkSession, name))
+    return df.sparkSession.read.parquet(at)
+
+
 def row_hash(*columns: Column) -> Column:
     """A uniform 63-bit hash of a row (the leading 60 bits of an MD5), the tie-break order of the operators."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in columns]

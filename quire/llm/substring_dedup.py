@@ -16,15 +16,21 @@ texts are far too many to sort, so the sort is sparse and grouped:
    have equal hashes. Every match found is verified byte by byte before it counts.
 4. Starts of repeated windows become removed spans.
 
-A group too large for one task (``GROUP_BYTES`` of contexts) goes another exact way: the
-hash of each of its windows is counted by itself, with partial sums before the shuffle.
+A group too large for one task (``GROUP_BYTES`` of contexts) is split first. A window at
+distance r before its anchor is filed under the range of distances r falls in and the
+bytes that all windows of that range have in common, so equal windows stay together and
+contexts that differ there part. What is still too large is split by narrower ranges
+(``LEVELS``), down to single windows, of which a task reads one after the other. Anchors
+with more than ``HOT`` occurrences are split before they are shuffled at all, and a task
+sends one of equal contexts only.
 
-Texts are told apart by a 64-bit hash, so copies are worked on once: a text that occurs
-more than once is removed wholly if it has LENGTH bytes.
+Copies are worked on once: a text whose SHA-256 occurs more than once is removed wholly
+if it has LENGTH bytes. On the way texts are told apart by 120 bits of it.
 
 Edge cases: null texts are empty; texts below LENGTH bytes keep everything, as do empty
 tables their emptiness; overlapping repeats count; ties between equal hashes go to the
-leftmost; repeated rows are copies. Only the id and text are read.
+leftmost; repeated rows, and rows of a null or repeated id, are copies or different texts
+like any others. Only the id and text are read.
 """
 
 from __future__ import annotations
@@ -35,15 +41,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, table
+from quire.llm.common import stored, table
 
 LENGTH, GRAM = 400, 128
 GROUP_BYTES = 12 << 20
 #: Contexts that are sorted together, if their groups are small.
 SORT_BYTES = 1 << 20
+#: Distances that one group answers for: all of an anchor's first, then narrower ranges.
+LEVELS = (1 << 10, 64, 8, 1)
+#: Occurrences of an anchor from which on its contexts are split before the shuffle.
+HOT = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -224,9 +234,15 @@ def repeated_starts(group: np.ndarray, contexts: list[bytes], pos: np.ndarray, l
     return found
 
 
-def _text_key(text: bytes) -> int:
-    h = xxhash.xxh64_intdigest(text)
-    return h - (1 << 64) if h >= 1 << 63 else h
+def _key(text: bytes) -> tuple[int, int]:
+    digest = hashlib.sha256(text).hexdigest()
+    return int(digest[:15], 16), int(digest[15:30], 16)
+
+
+def keyed(text: Column) -> dict[str, Column]:
+    """``k1`` and ``k2``, 60 bits each of the SHA-256 of a text: what texts are told apart by on the way."""
+    digest = F.sha2(text.cast("binary"), 256)
+    return {f"k{k}": F.conv(F.substring(digest, 15 * k - 14, 15), 16, 10).cast("long") for k in (1, 2)}
 
 
 def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
@@ -234,130 +250,139 @@ def _texts(batch: pa.RecordBatch, at: int) -> list[bytes | None]:
 
 
 def text_table(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_bytes and own_sha256 of every document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in _texts(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_text_key(t) for t in texts], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])], names=["doc_id", "text_key", "n_bytes", "own_sha256"])
+    """doc_id, k1, k2, n_bytes and own_sha256 of every document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in keyed(text).items()], F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own_sha256"))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text_key long, n_bytes long, own_sha256 string")
 
+def shared_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """anchor, k1, k2, place (pos << 20 | pos - low << 10 | high - low) and hot of anchors whose hash occurs again.
 
-def shared_anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """anchor, text_key, place (pos << 20 | pos - low << 10 | high - low) of anchors whose hash occurs again."""
+    An anchor occurs again if not all that is known of it is one place of one text. The
+    counts are summed before the shuffle, and the rows come back by a plain join, which
+    Spark may split, so no anchor's rows have to meet in one task.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            out, size = [[], [], []], 0
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            size = 0
             for t in _texts(batch, 0):
-                if not t or len(t) < length or (key := _text_key(t)) in seen:
+                if not t or len(t) < length or (key := _key(t)) in seen:
                     continue
                 seen.add(key)
                 h, pos, low, high = anchors(t, length, gram)
-                for c, v in zip(out, (h.view(np.int64), np.full(len(h), key, np.int64), pos << 20 | (pos - low) << 10 | (high - low)), strict=True):
+                for c, v in zip(out, (h.view(np.int64), *[np.full(len(h), k, np.int64) for k in key], pos << 20 | (pos - low) << 10 | (high - low)), strict=True):
                     c.append(v)
                 size += len(h)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "text_key", "place"])
-                    out, size = [[], [], []], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "k1", "k2", "place"])
+                    out, size = [[], [], [], []], 0
             if len(seen) > 500_000:
                 seen.clear()
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "text_key", "place"])
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows in order of anchor, text and place: of equal rows one stays; a row stays if a neighbour has its anchor."""
-        last, sent = None, True
-        for batch in batches:
-            a, t, p = (c.to_numpy() for c in batch.columns)
-            if last is not None:
-                a, t, p = (np.concatenate([[x], y]) for x, y in zip(last, (a, t, p), strict=True))
-            if not len(a):
-                continue
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])])
-            first_new = np.flatnonzero(new)
-            a, t, p = a[first_new], t[first_new], p[first_new]
-            near = np.zeros(len(a), bool)
-            same = a[1:] == a[:-1]
-            near[1:] |= same
-            near[:-1] |= same
-            if last is not None and sent:
-                near[0] = False
-            keep = near.copy()
-            # the last row is held: its next neighbour may be in the next batch
-            tail_known = bool(near[-1]) or (len(a) == 1 and last is not None and sent)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, t, p)], names=["anchor", "text_key", "place"])
-            last, sent = (a[-1], t[-1], p[-1]), tail_known
-        return
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["anchor", "k1", "k2", "place"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(find, "anchor long, text_key long, place long")
-    return found.repartition("anchor").sortWithinPartitions("anchor", "text_key", "place").mapInArrow(again, "anchor long, text_key long, place long")
+    found = stored(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(find, "anchor long, k1 long, k2 long, place long"), "anchors")
+    per = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("k1", "place") for k, f in (("lo", F.min), ("hi", F.max))])
+    again = per.filter("lo_k1 < hi_k1 OR lo_place < hi_place").select("anchor", (F.col("n") > hot).alias("hot"))
+    return found.join(stored(again, "again"), "anchor")
 
 
 def _by_text(docs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """text, text_key and the gathered column of the texts that the rows (text_key, column) name."""
-    keyed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_key", _key_column("text"))
-    packed = rows.groupBy("text_key").agg(F.collect_list(column).alias(column))
-    return keyed.join(packed, "text_key")
-
+    """k1, k2, text and the gathered column of the texts that the rows (k1, k2, column) name."""
+    own = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumns(keyed(F.col("text")))
+    packed = rows.groupBy("k1", "k2").agg(F.collect_set(column).alias(column))
+    return own.join(packed, ["k1", "k2"]).select("k1", "k2", "text", column)
 
-def _key_column(text: str):
-    @F.pandas_udf("long")
-    def key(texts):
-        return texts.map(lambda t: _text_key(t.encode()))
 
-    return key(F.col(text))
+CONTEXT = "group long, k1 long, k2 long, place long, level int, bytes binary"
+_CONTEXT_KINDS = dict(zip("group k1 k2 place level bytes".split(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True))
 
 
-def contexts(docs: DataFrame, found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """anchor, text_key, place and the bytes that its windows span, of every shared anchor.
+class Sender:
+    """Rows that leave a task: contexts, and (without bytes, place first << 32 | last) runs of starts that are settled.
 
-    Equal contexts of a task are sent once. The runs of starts that this settles go along
-    without bytes, as place (first << 32 | last).
+    Of equal contexts a task sends one: all windows of both are repeated, whatever else there is.
     """
-    rows = found.select("text_key", F.struct("anchor", "place").alias("at"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        #: contexts of this task: where the first of equal ones stands, or None once that is known to be repeated
-        first_at: dict[bytes, tuple[int, int, int] | None] = {}
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
+    def __init__(self):
+        self.rows: list[list] = [[] for _ in _CONTEXT_KINDS]
+        self.size = 0
+        #: where the first of equal contexts stands, or None once that is known to be repeated
+        self.first: dict[bytes, tuple[int, int, int, int] | None] = {}
+
+    def put(self, *row) -> None:
+        for c, v in zip(self.rows, row, strict=True):
+            c.append(v)
+        self.size += 64 + len(row[-1] or b"")
+
+    def settle(self, k1: int, k2: int, first: int, last: int) -> None:
+        self.put(k1, k1, k2, first << 32 | last, 0, None)
+
+    def known(self, group: int, k1: int, k2: int, place: int, level: int, data: bytes) -> bool:
+        """Whether an equal context has gone out; if not, this one goes."""
+        pos, low, span = _unpack(place)
+        same = hashlib.sha256(data + b"%d" % (pos - low)).digest()
+        if same in self.first:
+            if (one := self.first[same]) is not None:
+                self.settle(*one)
+                self.first[same] = None
+            return True
+        if len(self.first) > 400_000:
+            self.first.clear()
+        self.first[same] = k1, k2, low, low + span
+        self.put(group, k1, k2, place, level, data)
+        return False
+
+    def split(self, anchor: int, k1: int, k2: int, place: int, level: int, data: bytes, length: int) -> None:
+        """The context in parts, filed for the next level: see the module's text."""
+        pos, low, span = _unpack(place)
+        wide, near, far = LEVELS[level + 1], pos - low - span, pos - low
+        for j in range(near // wide, far // wide + 1):
+            first, last = pos - min(far, j * wide + wide - 1), pos - max(near, j * wide)
+            common = data[far - j * wide : far + length - (j + 1) * wide + 1]
+            group = xxhash.xxh64_intdigest(common + b"%d %d" % (anchor, j * wide + level))
+            part = pos << 20 | (pos - first) << 10 | (last - first)
+            if self.known(group - (1 << 63), k1, k2, part, level + 1, data[first - low : last - low + length]):
+                self.settle(k1, k2, first, last)
+
+    def batch(self) -> pa.RecordBatch:
+        rows, self.rows, self.size = self.rows, [[] for _ in _CONTEXT_KINDS], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, _CONTEXT_KINDS.values(), strict=True)], names=list(_CONTEXT_KINDS))
 
-            def add(*row, out=out) -> None:
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
 
-            for key, text, at in zip(batch.column(0).to_pylist(), _texts(batch, 1), batch.column(2).to_pylist(), strict=True):
-                if key in seen:
+def contexts(docs: DataFrame, found: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The bytes that the windows of every shared anchor span (CONTEXT rows); those of hot anchors are split at once."""
+    rows = found.select("k1", "k2", F.struct("anchor", "place", "hot").alias("at"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a text that is worked on twice is a copy, which is removed wholly: nothing depends on how many are remembered
+        seen: set[tuple[int, int]] = set()
+        out = Sender()
+        for batch in batches:
+            for k1, k2, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), batch.column(3).to_pylist(), strict=True):
+                if (k1, k2) in seen:
                     continue
-                seen.add(key)
-                known: list[tuple[int, int]] = []
+                seen.add((k1, k2))
+                again: list[tuple[int, int]] = []
                 for x in at:
                     pos, low, span = _unpack(x["place"])
                     data = text[low : low + span + length]
-                    same = xxhash.xxh128_digest(data + b"%d" % (pos - low))
-                    if same not in first_at:
-                        first_at[same] = (key, low, low + span)
-                        add(x["anchor"], key, x["place"], data)
-                        continue
-                    # an equal context: all windows of both are repeated, and one of them stands for both
-                    if (one := first_at[same]) is not None:
-                        add(one[0], one[0], one[1] << 32 | one[2], None)
-                        first_at[same] = None
-                    known.append((low, low + span))
-                for low, high in _merged(known):
-                    add(key, key, low << 32 | high, None)
-            if len(first_at) > 400_000:
-                first_at.clear()
-            yield _rows(out)
-
-    def _rows(out: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "text_key", "place", "bytes"])
-
-    return _by_text(docs, rows, "at").select("text_key", "text", "at").mapInArrow(cut, "anchor long, text_key long, place long, bytes binary")
+                    if x["hot"]:
+                        out.split(x["anchor"], k1, k2, x["place"], 0, data, length)
+                    elif out.known(x["anchor"], k1, k2, x["place"], 0, data):
+                        again.append((low, low + span))
+                for low, high in _merged(again):
+                    out.settle(k1, k2, low, high)
+                if out.size > 4 << 20:
+                    yield out.batch()
+            if len(seen) > 500_000:
+                seen.clear()
+        yield out.batch()
+
+    return _by_text(docs, rows, "at").mapInArrow(cut, CONTEXT)
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[list[int]]:
@@ -375,103 +400,127 @@ def _unpack(place):
     return pos, pos - ((place >> 10) & 1023), place & 1023
 
 
-def resolve(cut: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """text_key, first, last, window: runs of repeated starts (window null), or single windows of groups too large, by hash."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, large = 0, None
-        for batch in batches:
-            settled = batch.filter(batch.column(3).is_null())
-            place = settled.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([settled.column(1), pa.array(place >> 32), pa.array(place & 0xFFFFFFFF), pa.nulls(len(place), pa.int64())], names=["text_key", "first", "last", "window"])
-            for row in zip(*[c.to_pylist() for c in batch.filter(batch.column(3).is_valid()).columns], strict=True):
-                if held and (row[0] != held[-1][0]) and size > SORT_BYTES:
-                    yield from solved(held)
-                    held, size = [], 0
-                if row[0] == large:
-                    yield windows([row])
-                    continue
-                large = None
-                held.append(row)
-                size += len(row[3])
-                if size > group_bytes and held[0][0] == row[0]:  # one group alone is too large
-                    large = row[0]
-                    yield windows(held)
-                    held, size = [], 0
-                elif size > group_bytes:  # groups before the last are whole
-                    k = next(i for i, x in enumerate(held) if x[0] == row[0])
-                    yield from solved(held[:k])
-                    held, size = held[k:], sum(len(x[3]) for x in held[k:])
-        yield from solved(held)
-
-    def windows(rows: list[tuple]) -> pa.RecordBatch:
-        keys, starts, hashes = [], [], []
-        for _, key, place, data in rows:
-            _, low, _ = _unpack(place)
-            h = window_hashes(prefix_hashes(np.frombuffer(data, np.uint8)), length)
-            keys.append(np.full(len(h), key, np.int64))
-            starts.append(low + np.arange(len(h)))
-            hashes.append(h.view(np.int64))
-        k, st, h = (np.concatenate(x) for x in (keys, starts, hashes))
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(st, pa.int64()), pa.array(st, pa.int64()), pa.array(h)], names=["text_key", "first", "last", "window"])
-
-    def solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not rows:
+def solved(rows: list[tuple], out: Sender, length: int, gram: int) -> None:
+    """Settles whole groups by the suffix sort."""
+    if not rows:
+        return
+    a = np.array([r[0] for r in rows], np.int64)
+    group = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]).astype(np.int64)]))
+    pos, low, span = _unpack(np.array([r[3] for r in rows], np.int64))
+    found = repeated_starts(group, [r[5] for r in rows], pos, low, low + span, length, gram)
+    edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    rise, fall = np.argwhere(edge == 1), np.argwhere(edge == -1)
+    # distances r from the anchor: starts are pos - r
+    for (k, b), (_, e) in zip(rise, fall, strict=True):
+        out.settle(rows[k][1], rows[k][2], int(pos[k]) - int(e) + 1, int(pos[k]) - int(b))
+
+
+def settled(batches: Iterator[pa.RecordBatch], length: int, gram: int, group_bytes: int) -> Iterator[pa.RecordBatch]:
+    """One task of ``settle``; rows come in order of their groups."""
+    out, held, size, large = Sender(), [], 0, None
+    alone: tuple[int | None, dict[bytes, tuple[int, int, int] | None]] = (None, {})
+
+    def single(row: tuple) -> None:
+        """A group of the last level: single windows, equal if their bytes are."""
+        nonlocal alone
+        if alone[0] != row[0]:
+            alone = row[0], {}
+        group, k1, k2, place, _, data = row
+        _, start, _ = _unpack(place)
+        if data not in alone[1]:
+            alone[1][data] = k1, k2, start
             return
-        a = np.array([r[0] for r in rows], np.int64)
-        group = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]).astype(np.int64)]))
-        pos, low, span = _unpack(np.array([r[2] for r in rows], np.int64))
-        found = repeated_starts(group, [r[3] for r in rows], pos, low, low + span, length, gram)
-        keys, first, last = [], [], []
-        edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        rise, fall = np.argwhere(edge == 1), np.argwhere(edge == -1)
-        # distances r from the anchor: starts are pos - r
-        for (k, b), (_, e) in zip(rise, fall, strict=True):
-            keys.append(rows[k][1])
-            first.append(int(pos[k]) - int(e) + 1)
-            last.append(int(pos[k]) - int(b))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.nulls(len(keys), pa.int64())], names=["text_key", "first", "last", "window"])
-
-    return cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(work, "text_key long, first long, last long, window long")
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, keep_text: bool = False) -> DataFrame:
+        if (one := alone[1][data]) is not None:
+            out.settle(*one, one[2])
+            alone[1][data] = None
+        out.settle(k1, k2, start, start)
+
+    for batch in batches:
+        done = batch.filter(batch.column(5).is_null())
+        if len(done):
+            yield done
+        for row in zip(*[c.to_pylist() for c in batch.filter(batch.column(5).is_valid()).columns], strict=True):
+            if out.size > 4 << 20:
+                yield out.batch()
+            if row[4] == len(LEVELS) - 1:
+                single(row)
+                continue
+            if held and row[0] != held[-1][0] and size > SORT_BYTES:
+                solved(held, out, length, gram)
+                held, size = [], 0
+            if row[0] == large:
+                out.split(*row, length)
+                continue
+            large = None
+            held.append(row)
+            size += len(row[5])
+            if size > group_bytes and held[0][0] == row[0]:  # one group alone is too large
+                large = row[0]
+                for one in held:
+                    out.split(*one, length)
+                    if out.size > 4 << 20:
+                        yield out.batch()
+                held, size = [], 0
+            elif size > group_bytes:  # groups before the last are whole
+                k = next(i for i, x in enumerate(held) if x[0] == row[0])
+                solved(held[:k], out, length, gram)
+                held, size = held[k:], sum(len(x[5]) for x in held[k:])
+    solved(held, out, length, gram)
+    yield out.batch()
+
+
+def settle(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """CONTEXT rows to CONTEXT rows: settled runs, and the contexts of groups too large, split for the next level."""
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: settled(batches, length, gram, group_bytes), CONTEXT)
+
+
+def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
+    """k1, k2, first, last: runs of starts of repeated windows."""
+    rows, done = contexts(docs, shared_anchors(docs, length, gram, hot), length), None
+    for _ in LEVELS:
+        out = stored(settle(rows, length, gram, group_bytes), "runs")
+        runs = out.filter("bytes IS NULL").select("k1", "k2", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("last"))
+        done = runs if done is None else done.unionByName(runs)
+        rows = out.filter("bytes IS NOT NULL")
+        if rows.isEmpty():
+            break
+    return done
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, if asked for) of every document."""
-    texts = checkpointed(text_table(docs))
-    copied = texts.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
-    found = checkpointed(shared_anchors(docs, length, gram))
-    runs = checkpointed(resolve(contexts(docs, found, length), length, gram, group_bytes))
-    whole = runs.filter("window IS NULL").select("text_key", "first", "last")
-    single = runs.filter("window IS NOT NULL")
-    twice = single.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    starts = checkpointed(whole.unionByName(single.join(twice, "window").select("text_key", "first", "last")))
+    texts = stored(text_table(docs), "texts")
+    copied = stored(texts.groupBy("own_sha256").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copied")
+    runs = repeated_runs(docs, length, gram, group_bytes, hot)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             rows = []
-            for key, text, spans in zip(batch.column(0).to_pylist(), _texts(batch, 1), batch.column(2).to_pylist(), strict=True):
-                if key in seen:
+            for k1, k2, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), batch.column(3).to_pylist(), strict=True):
+                if (k1, k2) in seen:
                     continue
-                seen.add(key)
+                seen.add((k1, k2))
                 delta = np.zeros(len(text) + 1, np.int32)
                 np.add.at(delta, [x["first"] for x in spans], 1)
                 np.add.at(delta, [x["last"] + length for x in spans], -1)
                 gone = np.cumsum(delta[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                rows.append((key, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["text_key", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    partly = _by_text(docs, starts.select("text_key", F.struct("first", "last").alias("span")), "span").select("text_key", "text", "span").mapInArrow(cut, "text_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    partly = partly.groupBy("text_key").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept")])
-    j = texts.join(copied.filter(F.col("copies") > 1), "text_key", "left").join(partly, "text_key", "left")
-    all_ = F.col("copies").isNotNull() & (F.col("n_bytes") >= length)
+                rows.append((k1, k2, int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            if len(seen) > 500_000:
+                seen.clear()  # the rows of one text are made one below
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    partly = _by_text(docs, runs.select("k1", "k2", F.struct("first", "last").alias("span")), "span").mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    partly = partly.groupBy("k1", "k2").agg(*[F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "kept")])
+    # a text that stands in more than one row is repeated as a whole
+    whole = F.col("copies").isNotNull() & (F.col("n_bytes") >= length)
+    j = texts.join(copied, "own_sha256", "left").join(stored(partly, "partly"), ["k1", "k2"], "left")
     out = j.select(
-        "doc_id", "n_bytes", F.when(all_, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(all_, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(all_, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "own_sha256")).alias("kept_sha256"), F.when(all_, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"), F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "own_sha256")).alias("kept_sha256"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
     return out if keep_text else out.drop("kept")
 

@@ -205,6 +205,45 @@ def test_substring_dedup(edge_docs, edge_rows, no_docs, length, gram, group_byte
     assert substring_dedup.remove_repeats(no_docs).count() == 0
 
 
+def passages(rng, n):
+    """Texts with planted passages of 399, 400 and 401 bytes and of more, one in most of them, and a line in all of them."""
+    line = "".join(rng.choices("abcdefgh ", k=300))
+    planted = ["".join(rng.choices("abcdefgh ", k=k)) for k in (399, 400, 401, 450, 900)]
+    own = lambda: "".join(rng.choices("ijklmnop ", k=rng.randint(0, 300)))
+    return [(k, own() + line + own() + "|" + rng.choice(planted) + "|" + own() + (line if k % 3 else "")) for k in range(n)]
+
+
+@pytest.mark.parametrize("group_bytes, hot", [(12 << 20, 4096), (20_000, 4096), (2_000, 20), (1, 1)])
+def test_substring_dedup_of_large_groups(spark, group_bytes, hot):
+    rows = passages(random.Random(group_bytes), 120)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = by_row(substring_dedup.remove_repeats(df, group_bytes=group_bytes, hot=hot))
+    assert got == repeats(rows, 400)
+
+
+@pytest.mark.parametrize("group_bytes", [1, 5_000, 1 << 20])
+def test_substring_dedup_with_colliding_hashes(monkeypatch, group_bytes):
+    """All contexts and subgroups have one hash, level after level: bytes decide."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup.xxhash, "xxh64_intdigest", lambda data: 1 << 63)
+    texts = [t.encode() for _, t in passages(random.Random(1), 25)]
+    rows = []
+    for k, t in enumerate(texts):
+        for _, pos, low, high in zip(*(c.tolist() for c in substring_dedup.anchors(t)), strict=True):
+            rows.append((0, k, k, pos << 20 | (pos - low) << 10 | (high - low), 0, t[low : high + 400]))
+    starts = [set() for _ in texts]
+    while rows:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), substring_dedup._CONTEXT_KINDS.values(), strict=True)], names=list(substring_dedup._CONTEXT_KINDS))
+        out = [tuple(r.values()) for b in substring_dedup.settled(iter([batch]), 400, 128, group_bytes) for r in b.to_pylist()]
+        for r in out:
+            if r[5] is None:
+                starts[r[1]].update(range(r[3] >> 32, (r[3] & 0xFFFFFFFF) + 1))
+        rows = sorted((r for r in out if r[5] is not None), key=lambda r: (r[4], r[0]))
+    seen = Counter(t[k : k + 400] for t in texts for k in range(len(t) - 399))
+    assert starts == [{k for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1} for t in texts]
+
+
 def test_suffix_sort_is_lexicographic():
     rng = random.Random(3)
     texts = ["".join(rng.choices("ab", k=rng.randint(5, 60))).encode() for _ in range(200)]

@@ -103,14 +103,32 @@ def contamination(rows, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def nearby(rows, items):
+    """Per document, the items whose rarest terms all stand close to an occurrence of the rarest one."""
+    counts = Counter(w for _, t, *_ in rows for w in letters(t))
+    out = Counter()
+    for d, t, *_ in rows:
+        places, found = defaultdict(list), set()
+        for k, w in enumerate(letters(t)):
+            places[w].append(k)
+        for i, text in items:
+            own = letters(text)
+            rare = sorted(set(own), key=lambda w: (counts[w], w.encode()))[: decontamination.NEAR_TERMS]
+            span = len(own) + decontamination.NEAR_SLACK
+            if rare and any(all(any(abs(p - q) <= span for q in places[w]) for w in rare) for p in places[rare[0]]):
+                found.add(str(i))
+        out[d, tuple(sorted(found))] += 1
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
 def test_decontamination(spark, edge_docs, edge_rows, no_docs, block_bytes):
-    items = [(1, "three four five"), (2, None), (3, ""), (10, "ONE two three four five six seven eight nine ten, eleven!"), (11, "same words of the same line same words of the same"), (12, "three four five"), (13, edge_rows[6][1][:300])]
+    items = [(1, "three four five"), (2, None), (3, ""), (10, "ONE two three four five six seven eight nine ten, eleven!"), (11, "same words of the same line same words of the same"), (12, "three four five"), (13, edge_rows[6][1][:300]), (13, "eleven ten three")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.find_matches(edge_docs, bench, near=True, block_bytes=block_bytes)
-    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(set(r["item_ids"])))) for r in got.collect()) == contamination(edge_rows, items)
-    near = {r["doc_id"]: set(r["near_ids"]) for r in got.collect()}
-    assert {"10", "1", "12"} <= near[17] and near[3] == set()
+    got = decontamination.find_matches(edge_docs, bench, block_bytes=block_bytes)
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["item_ids"])) for r in got.collect()) == contamination(edge_rows, items)
+    near = Counter((r["doc_id"], tuple(r["near_ids"])) for r in got.collect())
+    assert near == nearby(edge_rows, items) and near[17, ("1", "10", "12", "13")] == 1
     clean = decontamination.remove_contaminated(edge_docs, bench, block_bytes=block_bytes)
     assert clean.columns == edge_docs.columns
     assert Counter(r["doc_id"] for r in clean.collect()) == Counter(d for (d, _, n, _), c in contamination(edge_rows, items).items() for _ in range(c) if not n)
@@ -118,6 +136,18 @@ def test_decontamination(spark, edge_docs, edge_rows, no_docs, block_bytes):
     assert {r["n_hit"] for r in decontamination.find_matches(edge_docs, bench.limit(0)).collect()} == {0}
 
 
+def test_postings_of_small_pieces(spark, edge_docs, edge_rows, monkeypatch):
+    """The index is cut anywhere between documents; what is found stays the same."""
+    texts = [(t or "").encode() for _, t, *_ in edge_rows]
+    q = decontamination.Queries([("1", texts[17]), ("2", texts[6][:200])])
+    whole = list(decontamination._found(decontamination.Postings.of_texts(texts, q.vocabulary), q, True))
+    for k, t in enumerate(texts):
+        p = decontamination.Piece([t])
+        one = decontamination.Postings.of_stored(p.n_words, p.words, p.counts, p.places, q.vocabulary)
+        hit, items, close = next(decontamination._found(one, q, True))
+        assert hit.tolist() == whole[k][0].tolist() and items == whole[k][1] and close == whole[k][2]
+
+
 # 4 -------------------------------------------------------------------------------------
 
 

@@ -160,6 +160,14 @@ class Postings:
         return found
 
 
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Piece:
     """Terms of some texts, how often each occurs, and the places of each in order, one term after the other.
 
@@ -167,25 +175,26 @@ class Piece:
     """
 
     def __init__(self, texts: list[bytes | None], vocabulary: dict[bytes, int] | None = None):
-        numbers: dict[bytes, int] = {} if vocabulary is None else vocabulary
+        numbers: dict[bytes, int] = Numbers() if vocabulary is None else vocabulary
         self.n_words, found, places, at = [], [], [], 0
         for text in texts:
             words = letter_words(text)
             if vocabulary is None:
-                for w in words:
-                    if w not in numbers:
-                        numbers[w] = len(numbers)
-            get = numbers.get
-            own = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-            here = np.flatnonzero(own >= 0)
-            found.append(own[here])
+                own, here = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), np.arange(len(words))
+            else:
+                get = numbers.get
+                own = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+                here = np.flatnonzero(own >= 0)
+                own = own[here]
+            found.append(own)
             places.append(here + at)
             self.n_words.append(len(words))
             at += len(words) + 1
         terms = np.concatenate(found) if found else np.array([], np.int32)
         self.words = list(numbers)
         self.counts = np.bincount(terms, minlength=len(numbers)).astype(np.int64)
-        self.places = (np.concatenate(places) if places else np.array([], np.int64))[np.argsort(terms, kind="stable")]
+        order = np.argsort(terms.astype(np.uint16) if len(numbers) <= 1 << 16 else terms, kind="stable")  # short keys sort by digits
+        self.places = (np.concatenate(places) if places else np.array([], np.int64))[order]
 
 
 def _pieces(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:

@@ -1,31 +1,45 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by alternating large and small stars.
+
+Edge cases: loops, repeated edges and edges in either direction count once; an end that is
+null has no edge; no edges give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed
+from quire.llm.common import stored
+
+#: Labels up to this number are broadcast to the edges; more are joined by a shuffle that Spark may split.
+BROADCAST_ROWS = 500_000
+
+
+def _with(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges with the label ``m`` of their end ``a``. Labels are one row a node, stored first, so a hub's
+    edges either stay where they are or come by a plain join of two exchanges, which Spark splits where it is skewed."""
+    least = stored(least, "least")
+    return edges.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "a")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b); the component is its smallest node.
 
-    Each round hangs nodes on the smallest neighbour they know. Only minima per node are
-    aggregated (partial sums before the shuffle), so a hub's neighbours never meet in one
-    task. Rounds grow with the logarithm of the longest chain; each is checkpointed.
+    Each round hangs nodes on the smallest neighbour they know. Minima per node are summed
+    up before the shuffle. Rounds grow with the logarithm of the longest chain; what a
+    round leaves is written and read again.
     """
-    edges = checkpointed(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with(both.filter("b > a"), both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(large.distinct(), "large")
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(least.select("a", F.col("m").alias("b")))
-        after = checkpointed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
+        small = _with(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(least.select("a", F.col("m").alias("b")))
+        after = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        if after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty():
             break
         edges = after
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

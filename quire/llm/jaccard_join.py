@@ -5,26 +5,29 @@ Word shingles are hashed to 64 bits; the order of the hashes is the global n-gra
 1. Documents with the same set are one class (its set hash); only classes go on.
 2. Candidates. The order is cut into fragments, more of them than two linked sets of that
    size can differ in n-grams. Then at least one fragment of a linked pair is equal, so a
-   class is filed once per fragment, under the hash of the n-grams it has there, and the
-   classes filed together are strung on the smallest of them. The number of fragments
-   depends on the size range of the larger set, so a class is filed for its own range and
-   for the next. Empty fragments prove nothing: where they leave too few others, the class
-   is filed under twice as many fragments as well, and so on. There are some fragments to
-   spare, and each class leaves out as many, the commonest first: passages that unrelated
-   documents share make no candidates.
-3. Candidate clusters are cut into blocks of a bounded size, and every pair of blocks of a
-   cluster is a task's work: the order is cut into fragments, the overlaps of all pairs
-   are counted in each fragment by itself, and summed per pair. Of the linked pairs only
-   those that join two components of the block pair leave the task.
-4. Components of the links, and back to the documents by their classes.
-
-No task holds more than two blocks. Work within a cluster grows with the square of the
-number of its different sets, rows never do.
+   class is filed once per fragment, under the hash of the n-grams it has there. The
+   number of fragments depends on the size range of the larger set, so a class is filed
+   for its own range and for the next. Empty fragments prove nothing: where they leave too
+   few others, the class is filed under twice as many fragments as well, and so on. There
+   are some fragments to spare, and each class leaves out as many, the commonest first:
+   passages that unrelated documents share make no candidates.
+3. Verification. The order is cut into ``FRAGMENTS`` fragments. Of every candidate pair the
+   n-grams of both sets in one fragment meet in one task, the partial overlap is counted
+   there by itself, and the partial overlaps are summed per pair.
+4. Not every candidate pair has to be verified. First every class is held against one
+   other, the first class of the key that it shares most. What is linked is one component.
+   Then, round by round, classes filed under one key but not in one component yet are held
+   against those that stand 1 to 4, 5 to 20, 21 to 84, ... places after them under that
+   key, until no two of them are left. So a group of thousands of near copies costs a few
+   comparisons a class, and still no link between components is missed: the work is that
+   of the linked classes and of the candidate pairs that are not linked.
+5. Components of the links, and back to the documents by their classes.
 
 Edge cases: null texts, empty texts and texts without a word have an empty set, are
 linked with nothing and keep their own id; a text of fewer words than a shingle is one
-n-gram; repeated rows fall into one class; rows of one id with different texts count as
-linked; an empty table gives no rows.
+n-gram; repeated rows fall into one class; rows without an id are linked with nothing;
+ids are taken for unique: if the smallest id of a class has other texts too, links of one
+of its texts count for all of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,14 +41,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, space_words, table
+from quire.llm.common import checkpointed, space_words, stored, table
 from quire.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
-#: Sets of a block; a task's work is two blocks.
-BLOCK = 512
-#: Fragments that overlaps are counted in, one after the other.
+#: Fragments that overlaps are counted in, each by itself.
 FRAGMENTS = 8
+#: Sets that are held against one other in one task; places after a class in the first round, and by how much they grow.
+SALT, REACH, GROWTH = 2048, 4, 4
+#: Hashes that a task counts at a time.
+HELD = 1 << 20
 #: Fragments above the least number, as a share of it, and from what number on a key is just common.
 SPARE, COMMON = 0.2, 1024
 #: Documents whose filings go out together.
@@ -146,8 +151,11 @@ def document_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
 
 
-def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): documents filed under the same key, each strung on the smallest; equal sets stand for each other."""
+def filed_together(docs: DataFrame, head_of: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """key, id, head, nth: classes filed under the same key, by their ids, the smallest of them and the place in their order.
+
+    head_of (doc_id, head): documents that another one of the same set stands for.
+    """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Shingler(words), set()
@@ -193,143 +201,190 @@ def candidate_edges(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             n = np.repeat(np.minimum(n, COMMON), np.diff(np.append(first, end)))
             yield pa.RecordBatch.from_arrays([pa.array(x[:end][n > 1]) for x in rows[:2]] + [pa.array(rows[2][:end][n > 1].astype(np.int32)), pa.array(n[n > 1].astype(np.int32))], names=["key", "doc_id", "spare", "n"])
 
-    def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in order of key and id; the first of a key is its smallest."""
-        key, head = None, 0
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of key and id: drops equal ones and keys of a single id, adds the first id and the place."""
+        last, head, nth = None, 0, 0  # the last row, its key's first id, its place
         for batch in batches:
             k, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if len(k):
-                new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
-                at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-                heads = np.where(at >= 0, d[np.maximum(at, 0)], head)
-                key, head = k[-1], heads[-1]
-                pairs = np.unique(np.stack([d[d != heads], heads[d != heads]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if last is not None:
+                k, d = np.concatenate([[last[0]], k]), np.concatenate([[last[1]], d])
+            if not len(k):
+                continue
+            keep = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+            k, d = k[keep], d[keep]
+            fresh = np.concatenate([[last is None], k[1:] != k[:-1]])
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), -1))
+            heads = np.where(begin >= 0, d[np.maximum(begin, 0)], head)
+            places = np.where(begin >= 0, np.arange(len(k)) - begin, np.arange(len(k)) + nth)
+            more = places > 0
+            more[:-1] |= k[1:] == k[:-1]  # the first of a key goes out when the second has come
+            if last is not None and nth > 0:
+                more[0] = False  # has gone out before
+            out = more.copy()
+            out[-1] &= places[-1] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, d, heads, places)], names=["key", "id", "head", "nth"])
+            last, head, nth = (k[-1], d[-1]), heads[-1], int(places[-1])
 
     filed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL").mapInArrow(file, "key long, doc_id long, spare int")
     again = filed.repartition("key").sortWithinPartitions("key").mapInArrow(shared, "key long, doc_id long, spare int, n int")
     rank = F.row_number().over(Window.partitionBy("doc_id", F.expr("key & 4095")).orderBy(F.desc("n"), F.desc("key")))
-    kept = again.withColumn("_rank", rank).filter("_rank > spare").select("key", "doc_id")
-    return kept.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(string, "a long, b long").distinct()
-
-
-def overlaps(a: list[np.ndarray], b: list[np.ndarray], fragments: int = FRAGMENTS) -> np.ndarray:
-    """Sizes of the intersections of all sets of ``a`` with all of ``b``: counted fragment by fragment, and summed."""
-    total = np.zeros((len(a), len(b)), np.int32)
-    own = [(np.concatenate(x) if x else np.array([], np.uint64), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (a, b)]
-    of = [(h >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32) for h, _ in own]
-    for f in range(fragments):
-        (ha, ra), (hb, rb) = ((h[o == f], r[o == f]) for (h, r), o in zip(own, of, strict=True))
-        shared = np.intersect1d(ha, hb)
-        if not len(shared):
-            continue
-        parts = []
-        for h, r, n in ((ha, ra, len(a)), (hb, rb, len(b))):
-            at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-            in_ = shared[at] == h
-            parts.append((r[in_], at[in_], n))
-        for begin in range(0, len(shared), 4096):  # columns of a dense strip
-            strip = []
-            for r, at, n in parts:
-                own_ = (at >= begin) & (at < begin + 4096)
-                m = np.zeros((n, min(4096, len(shared) - begin)), np.float32)
-                m[r[own_], at[own_] - begin] = 1
-                strip.append(m)
-            total += np.rint(strip[0] @ strip[1].T).astype(np.int32)
-    return total
-
-
-def spanning_links(ids_a: np.ndarray, a: list[np.ndarray], ids_b: np.ndarray, b: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Linked pairs between two blocks (or within one), as many as it takes to join what they join."""
-    inter = overlaps(a, b)
-    na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-    union = na[:, None] + nb[None, :] - inter
-    x, y = np.nonzero((100 * inter.astype(np.int64) >= percent * union.astype(np.int64)) & (ids_a[:, None] != ids_b[None, :]))
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while root.setdefault(v, v) != v:
-            root[v] = root[root[v]]
-            v = root[v]
-        return v
-
-    out = []
-    for u, v in zip(ids_a[x].tolist(), ids_b[y].tolist(), strict=True):
-        p, q = find(u), find(v)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((u, v))
-    return out
-
-
-def links(docs: DataFrame, members: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): enough linked pairs to join the components of the members (doc_id, cluster, block, blocks)."""
-    spark = docs.sparkSession
-    small = members.select(F.col("doc_id").alias("_id"), "cluster", "block", "blocks")
-    small = F.broadcast(small) if members.count() <= BROADCAST_ROWS else small
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(small, F.col("doc_id") == F.col("_id"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler(words)
+    kept = again.withColumn("_rank", rank).filter("_rank > spare").select("key", F.col("doc_id").alias("id"))
+    small = F.broadcast(head_of) if head_of.count() <= BROADCAST_ROWS else head_of
+    kept = kept.join(small, kept["id"] == head_of["doc_id"], "left").select("key", F.coalesce("head", "id").alias("id"))
+    return kept.repartition("key").sortWithinPartitions("key", "id").mapInArrow(ranked, "key long, id long, head long, nth long")
+
+
+def partial_overlaps(own: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams of ``own`` (in order) each of the sets has."""
+    if not len(own) or not sets:
+        return np.zeros(len(sets), np.int64)
+    h = np.concatenate(sets)
+    hit = own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h
+    return np.bincount(np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], minlength=len(sets))
+
+
+def linked_pairs(docs: DataFrame, pairs: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
+    """Those of the pairs (a, b) of ids that are linked: partial overlaps per fragment, summed per pair."""
+    # the sets that are held against b meet it in as many tasks as it takes
+    salts = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts")), "salts")
+    one = pairs.join(salts, "b").select(F.col("a").alias("id"), F.col("b").alias("unit"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
+    other = salts.select(F.col("b").alias("id"), F.col("b").alias("unit"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    at = one.unionByName(other).groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.struct("unit", "salt")).alias("at"))
+    at = F.broadcast(at) if pairs.count() <= BROADCAST_ROWS else at
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(at, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "at")
+    schema = "unit long, salt int, fragment int, other boolean, id long, own long, n long, hashes binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets cut into fragments, sent to every task that needs them."""
+        shingler = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.sets(t).tobytes() for t in _texts(batch)], pa.binary()), *[batch.column(k) for k in (2, 3, 4)]], names=["doc_id", "hashes", "cluster", "block", "blocks"])
-
-    packed = rows.select("doc_id", "text", "cluster", "block", "blocks").mapInArrow(pack, "doc_id long, hashes binary, cluster long, block int, blocks int")
-    # every pair of blocks of a cluster is a unit of work; small clusters are one unit
-    other = packed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = other.select("cluster", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "doc_id", "hashes")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, held = None, []
-
-        def done() -> pa.RecordBatch:
-            (_, i, j), sides = unit, ([], [])
-            for block, doc, h in dict.fromkeys(held):
-                sides[int(block != i)].append((doc, np.frombuffer(h, np.uint64)))
-            a, b = sides if i != j else (sides[0], sides[0])
-            pairs = spanning_links(np.array([x[0] for x in a], np.int64), [x[1] for x in a], np.array([x[0] for x in b], np.int64), [x[1] for x in b], percent) if a and b else []
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+            out: list[list] = [[] for _ in range(8)]
+            size = 0
+            for id_, text, units in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2).to_pylist(), strict=True):
+                s = shingler.sets(text)
+                if not len(s):
+                    continue
+                own = xxhash.xxh64_intdigest(s.tobytes()) >> 1
+                of = (s >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+                ends = np.searchsorted(of, np.arange(fragments), side="right").tolist()
+                for f, (b, e) in enumerate(zip([0, *ends], ends)):
+                    if e > b:
+                        part = s[b:e].tobytes()
+                        for u in units:
+                            for c, v in zip(out, (u["unit"], u["salt"], f, u["unit"] != id_, id_, own, len(s), part), strict=True):
+                                c.append(v)
+                            size += len(part)
+                        if size > 4 << 20:
+                            yield sent(out)
+                            out, size = [[] for _ in range(8)], 0
+            yield sent(out)
+
+    def sent(out: list[list]) -> pa.RecordBatch:
+        kinds = pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a unit come together, the set that the others are held against first."""
+        unit: tuple | None = None
+        centre: dict[int, tuple[int, np.ndarray]] = {}
+        held: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        size = 0
+
+        def counted() -> pa.RecordBatch:
+            cols: list[list] = [[] for _ in range(7)]
+            for own, (n, hashes) in centre.items():
+                c = partial_overlaps(hashes, [x[1] for x in held.values()])
+                for ((id_, other), (m, _)), overlap in zip(held.items(), c.tolist(), strict=True):
+                    if overlap:
+                        for col, v in zip(cols, (id_, other, unit[0], own, m, n, overlap), strict=True):
+                            col.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "own_a", "b", "own_b", "n_a", "n_b", "overlap"])
 
         for batch in batches:
-            for cluster, i, j, block, doc, h in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (cluster, i, j) != unit:
+            for u, salt, f, other, id_, own, n, hashes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (u, salt, f) != unit:
                     if held:
-                        yield done()
-                    unit, held = (cluster, i, j), []
-                held.append((block, doc, h))
+                        yield counted()
+                    unit, centre, held, size = (u, salt, f), {}, {}, 0
+                row = n, np.frombuffer(hashes, np.uint64)
+                if not other:
+                    centre[own] = row
+                    continue
+                if (id_, own) not in held and size > HELD:  # rows of an id and set come together: equal ones count once
+                    yield counted()
+                    held, size = {}, 0
+                held[id_, own] = row
+                size += len(row[1])
         if held:
-            yield done()
-
-    return units.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "doc_id").mapInArrow(work, "a long, b long")
+            yield counted()
+
+    parts = rows.mapInArrow(cut, schema).repartition("unit", "salt", "fragment").sortWithinPartitions("unit", "salt", "fragment", "other", "id", "own")
+    sums = parts.mapInArrow(count, "a long, own_a long, b long, own_b long, n_a long, n_b long, overlap long").groupBy("a", "own_a", "b", "own_b").agg(F.sum("overlap").alias("o"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    return sums.filter(F.col("o") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("o")) * percent).select("a", "b").distinct()
+
+
+def named(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """Adds the component of the id in a column; ids without a label are their own."""
+    labels = F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels
+    return rows.join(labels, rows[column] == labels["node"], "left").withColumn(f"{column}_in", F.coalesce("component", column)).drop("node", "component")
+
+
+def linked_components(docs: DataFrame, together: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of all linked ids; together: rows of ``filed_together``."""
+    stars = together.filter("id != head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
+    pairs = stored(stars.groupBy(F.col("id").alias("a")).agg(F.max_by("head", F.struct(F.col("n"), -F.col("head"))).alias("b")), "pairs")
+    verified = pairs
+    labels = stored(connected_components(linked_pairs(docs, pairs, words, percent)), "labels")
+    first, reach, rows = 1, REACH, together.select("key", "id", "nth")
+    while True:
+        # keys under which not all are in one component yet, and still someone stands so far behind another
+        rows = named(rows, "id", labels)
+        open_ = rows.groupBy("key").agg(F.min("id_in").alias("_least"), F.max("id_in").alias("_most"), F.max("nth").alias("_last")).filter((F.col("_least") < F.col("_most")) & (F.col("_last") >= first)).select("key")
+        rows = stored(rows.join(stored(open_, "open"), "key"), "rows")
+        if rows.isEmpty():
+            return labels
+        ahead = rows.select("key", F.col("id").alias("a"), F.col("id_in").alias("a_in"), F.explode(F.sequence(F.col("nth") + first, F.col("nth") + first + reach - 1)).alias("nth"))
+        met = ahead.join(rows.select("key", "nth", F.col("id").alias("b"), F.col("id_in").alias("b_in")), ["key", "nth"]).filter("a_in != b_in")
+        met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = stored(met.join(verified, ["a", "b"], "left_anti"), "pairs")
+        verified = verified.unionByName(pairs)
+        if not pairs.isEmpty():
+            found = linked_pairs(docs, pairs, words, percent)
+            joined = named(named(found, "a", labels), "b", labels).select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
+            merged = stored(connected_components(joined).withColumnRenamed("component", "_to").withColumnRenamed("node", "_from"), "merged")
+            whole = labels.join(merged, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+            fresh = merged.join(labels, F.col("_from") == F.col("node"), "left_anti").select(F.col("_from").alias("node"), F.col("_to").alias("component"))
+            labels = stored(whole.unionByName(fresh), "labels")
+        rows = rows.select("key", "id", "nth")
+        first, reach = first + reach, reach * GROWTH
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_key and component_id of every document."""
     sets = checkpointed(document_sets(docs, words))
-    classes = sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n"))
-    heads = checkpointed(classes)
-    edges = candidate_edges(docs, words, percent)
-    # equal sets are filed alike: edges between copies say nothing new, so ids are replaced by their class's head
-    head_of = checkpointed(sets.join(heads.filter("n > 1"), "set_key").filter("doc_id != head").select("doc_id", "head").distinct())
-    for end in ("a", "b"):
-        edges = edges.join(head_of, edges[end] == head_of["doc_id"], "left").withColumn(end, F.coalesce("head", end)).drop("doc_id", "head")
-    edges = checkpointed(edges.filter("a != b").distinct())
-    clusters = checkpointed(connected_components(edges))
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    members = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    members = members.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "blocks")
-    linked = checkpointed(links(docs, checkpointed(members), words, percent))
-    found = connected_components(linked)
-    labels = heads.join(found, heads["head"] == found["node"], "left").select("set_key", F.coalesce("component", "head").alias("component"))
+    classes = checkpointed(sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")))
+    head_of = stored(sets.join(classes.filter("n > 1"), "set_key").filter("doc_id != head").select("doc_id", "head").distinct(), "heads")
+    together = stored(filed_together(docs, head_of, words, percent), "together")
+    found = linked_components(docs, together, words, percent)
+    labels = stored(classes.join(found, classes["head"] == found["node"], "left").select("set_key", F.coalesce("component", "head").alias("component")), "classes")
     return sets.join(labels, "set_key", "left").select("doc_id", "n_shingles", "set_key", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents of smallest id of each component, with the columns they came with; of repeated rows all stay."""
-    drop = join_components(docs, words, percent).filter("component_id != doc_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    drop = checkpointed(drop)
+    """One document of each component, that of the smallest id, with the columns it came with.
+
+    Of rows that share an id, which repeated rows do, one stays; rows without an id all stay.
+    """
+    found = stored(join_components(docs, words, percent).select("doc_id", "component_id"), "components")
+    drop = stored(found.filter("component_id != doc_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
     drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
-    return docs.join(drop, docs["doc_id"] == drop["_dropped"], "left_anti")
+    kept = docs.join(drop, docs["doc_id"] == drop["_dropped"], "left_anti")
+    again = stored(found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_again"), "again")
+    if again.isEmpty():
+        return kept
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    same = kept["doc_id"] == again["_again"]
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

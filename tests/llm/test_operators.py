@@ -349,9 +349,10 @@ def test_jaccard_join(edge_docs, edge_rows, no_docs):
     assert jaccard_join.join_components(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("words, percent, block", [(4, 85, 7), (5, 80, 512), (2, 50, 64)])
-def test_jaccard_join_of_many_near_copies(spark, monkeypatch, words, percent, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize("words, percent, salt, reach", [(4, 85, 7, 1), (5, 80, 2048, 4), (2, 50, 64, 2)])
+def test_jaccard_join_of_many_near_copies(spark, monkeypatch, words, percent, salt, reach):
+    monkeypatch.setattr(jaccard_join, "SALT", salt)
+    monkeypatch.setattr(jaccard_join, "REACH", reach)
     rng = random.Random(words)
     rows, base = [], [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 120]))] for _ in range(6)]
     for k in range(150):
@@ -365,6 +366,18 @@ def test_jaccard_join_of_many_near_copies(spark, monkeypatch, words, percent, bl
     assert {r["doc_id"] for r in jaccard_join.one_of_each(df, words, percent).collect()} == {c for _, c in wanted.values()}
 
 
+def test_rows_without_an_id_and_repeated_ids(spark):
+    body = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, body), (None, body), (4, body), (2, body), (2, body), (9, "other words of its own here"), (9, "other words of its own here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(jaccard_join.join_components(df).select("doc_id", "component_id"))[2, 2] == 2
+    assert sorted((r["doc_id"] or 0) for r in jaccard_join.one_of_each(df).collect()) == [0, 0, 2, 9]
+
+
+def test_no_edges_no_components(spark):
+    assert connected_components(spark.createDataFrame([(3, 3), (None, 1)], "a long, b long")).count() == 0
+
+
 def test_connected_components(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 5), (200, 201), (201, 202)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -15,32 +15,33 @@ from quire.llm.common import stored
 BROADCAST_ROWS = 500_000
 
 
-def _with(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """The edges with the label ``m`` of their end ``a``. Labels are one row a node, stored first, so a hub's
-    edges either stay where they are or come by a plain join of two exchanges, which Spark splits where it is skewed."""
-    least = stored(least, "least")
-    return edges.join(F.broadcast(least) if least.count() <= BROADCAST_ROWS else least, "a")
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of the edges (a, b); the component is its smallest node.
 
     Each round hangs nodes on the smallest neighbour they know. Minima per node are summed
-    up before the shuffle. Rounds grow with the logarithm of the longest chain; what a
-    round leaves is written and read again.
+    up before the shuffle, and go to the edges by broadcast while a count of the edges
+    bounds them; beyond, they are stored, and the join is one of two plain exchanges, which
+    Spark splits where it is skewed: a hub's edges never have to meet in one task. Rounds
+    grow with the logarithm of the longest chain; what a round leaves is written and read
+    again.
     """
     edges = stored(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    n = edges.count()
+    while n:
+        few = 2 * n <= BROADCAST_ROWS
+        put = F.broadcast if few else lambda least: stored(least, "least")
         # large star: every larger neighbour of a node goes to the node's smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with(both.filter("b > a"), both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.distinct(), "large")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.filter("b > a").join(put(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large if few else stored(large.distinct(), "large")
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _with(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(least.select("a", F.col("m").alias("b")))
+        small = large.join(put(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(least.select("a", F.col("m").alias("b")))
         after = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-        if after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty():
+        same = after.count() == n and after.join(edges, ["a", "b"], "left_anti").isEmpty()
+        edges, n = after, after.count()
+        if same:
             break
-        edges = after
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

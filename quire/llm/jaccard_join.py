@@ -16,11 +16,14 @@ Word shingles are hashed to 64 bits; the order of the hashes is the global n-gra
    there by itself, and the partial overlaps are summed per pair.
 4. Not every candidate pair has to be verified. First every class is held against one
    other, the first class of the key that it shares most. What is linked is one component.
-   Then, round by round, classes filed under one key but not in one component yet are held
-   against those that stand 1 to 4, 5 to 20, 21 to 84, ... places after them under that
-   key, until no two of them are left. So a group of thousands of near copies costs a few
-   comparisons a class, and still no link between components is missed: the work is that
-   of the linked classes and of the candidate pairs that are not linked.
+   Then only keys are open whose classes are not in one component yet. Under an open key
+   of few classes all pairs between components are verified one by one. Open keys of many
+   classes that share classes are a crowd. In a crowd the classes outside its largest
+   component are held against all others, block by block: a task has the n-grams of two
+   blocks in one fragment and counts a table of partial overlaps, and the tables of two
+   blocks are summed. Of the linked pairs of two blocks only those leave the task that join
+   components. So thousands of near copies cost a few comparisons a class, and no link
+   between components is missed.
 5. Components of the links, and back to the documents by their classes.
 
 Edge cases: null texts, empty texts and texts without a word have an empty set, are
@@ -47,8 +50,8 @@ from quire.llm.components import connected_components
 WORDS, PERCENT = 4, 85
 #: Fragments that overlaps are counted in, each by itself.
 FRAGMENTS = 8
-#: Sets that are held against one other in one task; places after a class in the first round, and by how much they grow.
-SALT, REACH, GROWTH = 2048, 4, 4
+#: Sets that are held against one other in one task; classes of an open key from which on it goes by blocks; sets of a block.
+SALT, CROWD, BLOCK = 512, 16, 1024
 #: Hashes that a task counts at a time.
 HELD = 1 << 20
 #: Fragments above the least number, as a share of it, and from what number on a key is just common.
@@ -329,34 +332,171 @@ def named(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
     return rows.join(labels, rows[column] == labels["node"], "left").withColumn(f"{column}_in", F.coalesce("component", column)).drop("node", "component")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, component) after some more links (a, b) of ids."""
+    joined = named(named(links, "a", labels), "b", labels).select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
+    to = stored(connected_components(joined).select(F.col("node").alias("_from"), F.col("component").alias("_to")), "merged")
+    known = labels.join(to, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+    fresh = to.join(labels, F.col("_from") == F.col("node"), "left_anti").select(F.col("_from").alias("node"), F.col("_to").alias("component"))
+    return stored(known.unionByName(fresh), "labels")
+
+
+def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, id, nth, id_in (its component), last (the last place) of keys whose ids are not in one component."""
+    rows = named(rows.select("key", "id", "nth"), "id", labels)
+    keys = rows.groupBy("key").agg(F.min("id_in").alias("_least"), F.max("id_in").alias("_most"), F.max("nth").alias("last")).filter("_least < _most").select("key", "last")
+    return stored(rows.join(stored(keys, "open"), "key"), "rows")
+
+
 def linked_components(docs: DataFrame, together: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all linked ids; together: rows of ``filed_together``."""
     stars = together.filter("id != head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
-    pairs = stored(stars.groupBy(F.col("id").alias("a")).agg(F.max_by("head", F.struct(F.col("n"), -F.col("head"))).alias("b")), "pairs")
-    verified = pairs
-    labels = stored(connected_components(linked_pairs(docs, pairs, words, percent)), "labels")
-    first, reach, rows = 1, REACH, together.select("key", "id", "nth")
-    while True:
-        # keys under which not all are in one component yet, and still someone stands so far behind another
-        rows = named(rows, "id", labels)
-        open_ = rows.groupBy("key").agg(F.min("id_in").alias("_least"), F.max("id_in").alias("_most"), F.max("nth").alias("_last")).filter((F.col("_least") < F.col("_most")) & (F.col("_last") >= first)).select("key")
-        rows = stored(rows.join(stored(open_, "open"), "key"), "rows")
-        if rows.isEmpty():
-            return labels
-        ahead = rows.select("key", F.col("id").alias("a"), F.col("id_in").alias("a_in"), F.explode(F.sequence(F.col("nth") + first, F.col("nth") + first + reach - 1)).alias("nth"))
-        met = ahead.join(rows.select("key", "nth", F.col("id").alias("b"), F.col("id_in").alias("b_in")), ["key", "nth"]).filter("a_in != b_in")
-        met = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        pairs = stored(met.join(verified, ["a", "b"], "left_anti"), "pairs")
-        verified = verified.unionByName(pairs)
-        if not pairs.isEmpty():
-            found = linked_pairs(docs, pairs, words, percent)
-            joined = named(named(found, "a", labels), "b", labels).select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
-            merged = stored(connected_components(joined).withColumnRenamed("component", "_to").withColumnRenamed("node", "_from"), "merged")
-            whole = labels.join(merged, F.col("component") == F.col("_from"), "left").select("node", F.coalesce("_to", "component").alias("component"))
-            fresh = merged.join(labels, F.col("_from") == F.col("node"), "left_anti").select(F.col("_from").alias("node"), F.col("_to").alias("component"))
-            labels = stored(whole.unionByName(fresh), "labels")
-        rows = rows.select("key", "id", "nth")
-        first, reach = first + reach, reach * GROWTH
+    stars = stored(stars.groupBy(F.col("id").alias("a")).agg(F.max_by("head", F.struct(F.col("n"), -F.col("head"))).alias("b")), "pairs")
+    labels = stored(connected_components(linked_pairs(docs, stars, words, percent)), "labels")
+    rows = still_open(together, labels)
+    few = rows.filter(F.col("last") < CROWD)
+    ahead = few.select("key", F.col("id").alias("a"), F.col("id_in").alias("a_in"), F.explode(F.sequence(F.col("nth") + 1, F.col("nth") + CROWD)).alias("nth"))
+    met = ahead.join(few.select("key", "nth", F.col("id").alias("b"), F.col("id_in").alias("b_in")), ["key", "nth"]).filter("a_in != b_in")
+    pairs = stored(met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        labels = merged(labels, linked_pairs(docs, pairs, words, percent))
+    crowds = rows.filter(F.col("last") >= CROWD)
+    if crowds.isEmpty() or (crowds := still_open(crowds, labels)).isEmpty():
+        return labels
+    return merged(labels, crowd_links(docs, crowds, words, percent))
+
+
+def crowd_links(docs: DataFrame, rows: DataFrame, words: int = WORDS, percent: int = PERCENT, fragments: int = FRAGMENTS) -> DataFrame:
+    """(a, b): enough linked pairs to join what the crowds' links join; rows of ``still_open``."""
+    crowds = stored(connected_components(rows.filter("nth > 0").join(rows.filter("nth = 0").select("key", F.col("id").alias("b")), "key").select(F.col("id").alias("a"), "b")), "crowds")
+    ids = rows.select(F.col("id").alias("node"), "id_in").distinct().join(crowds, "node").withColumnRenamed("component", "crowd")
+    per = ids.groupBy("crowd", "id_in").agg(F.count(F.lit(1)).alias("n"))
+    per = stored(per.groupBy("crowd").agg(F.sum("n").alias("n_all"), F.max("n").alias("_n"), F.max_by("id_in", F.struct("n", "id_in")).alias("largest")), "sizes")
+    ids = ids.join(per, "crowd").withColumns({"_left": F.ceil((F.col("n_all") - F.col("_n")) / BLOCK).cast("int"), "_right": F.ceil(F.col("n_all") / BLOCK).cast("int")})
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    left = ids.filter("id_in != largest").select("node", "crowd", place("_left").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_right") - 1)).alias("j"), F.lit(True).alias("mine"))
+    right = ids.select("node", "crowd", F.explode(F.sequence(F.lit(0), F.col("_left") - 1)).alias("i"), place("_right").alias("j"), F.lit(False).alias("mine"))
+    at = left.unionByName(right).groupBy(F.col("node").alias("_id")).agg(F.collect_list(F.struct("crowd", "i", "j", "mine")).alias("at"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(stored(at, "places"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "at")
+    cut_schema = "crowd long, i int, j int, fragment int, mine boolean, id long, own long, n long, hashes binary"
+    table_schema = "crowd long, i int, j int, ids_a binary, ids_b binary, overlaps binary, wide int"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        kinds = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()
+        names = [x.split()[0] for x in cut_schema.split(", ")]
+        for batch in batches:
+            out: list[list] = [[] for _ in kinds]
+            size = 0
+            for id_, text, units in zip(batch.column(0).to_pylist(), _texts(batch), batch.column(2).to_pylist(), strict=True):
+                s = shingler.sets(text)
+                own = xxhash.xxh64_intdigest(s.tobytes()) >> 1
+                of = (s >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
+                ends = np.searchsorted(of, np.arange(fragments), side="right").tolist()
+                for f, (b, e) in enumerate(zip([0, *ends], ends)):
+                    if e > b:
+                        part = s[b:e].tobytes()
+                        for u in units:
+                            for c, v in zip(out, (u["crowd"], u["i"], u["j"], f, u["mine"], id_, own, len(s), part), strict=True):
+                                c.append(v)
+                            size += len(part)
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                            out, size = [[] for _ in kinds], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tables of partial overlaps of two blocks in one fragment; rows of a unit come together."""
+        unit, sides = None, ({}, {})
+
+        def counted() -> pa.RecordBatch:
+            a, b = sides
+            table_ = table_of_overlaps([x[1] for x in a.values()], [x[1] for x in b.values()])
+            wide = int(table_.max(initial=0) > 0xFFFF)
+            ids = [np.array([(*k, n) for k, (n, _) in x.items()], np.int64).reshape(-1, 3).tobytes() for x in (a, b)]
+            row = [unit[0]], [unit[1]], [unit[2]], [ids[0]], [ids[1]], [table_.astype(np.uint32 if wide else np.uint16).tobytes()], [wide]
+            kinds = pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in table_schema.split(", ")])
+
+        for batch in batches:
+            for crowd, i, j, f, mine, id_, own, n, hashes in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (crowd, i, j, f) != unit:
+                    if sides[0] and sides[1]:
+                        yield counted()
+                    unit, sides = (crowd, i, j, f), ({}, {})
+                sides[0 if mine else 1][id_, own] = n, np.frombuffer(hashes, np.uint64)
+        if sides[0] and sides[1]:
+            yield counted()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums the tables of two blocks and keeps the linked pairs that it takes."""
+        unit, total = None, None
+        seen: tuple[dict, dict] = ({}, {})
+
+        def linked() -> pa.RecordBatch:
+            rows_, cols = (np.array(list(x), np.int64).reshape(-1, 3) for x in seen)
+            t = total[: len(rows_), : len(cols)]
+            union = rows_[:, 2][:, None] + cols[:, 2][None, :] - t
+            x, y = np.nonzero((100 * t >= percent * union) & (rows_[:, 0][:, None] != cols[:, 0][None, :]))
+            pairs = spanning(rows_[x, 0].tolist(), cols[y, 0].tolist())
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for crowd, i, j, a, b, overlaps, wide in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (crowd, i, j) != unit:
+                    if unit:
+                        yield linked()
+                    unit, seen, total = (crowd, i, j), ({}, {}), np.zeros((0, 0), np.int64)
+                at = [[x.setdefault(tuple(k), len(x)) for k in np.frombuffer(ids, np.int64).reshape(-1, 3).tolist()] for x, ids in zip(seen, (a, b), strict=True)]
+                if total.shape[0] < len(seen[0]) or total.shape[1] < len(seen[1]):
+                    total = np.pad(total, ((0, max(0, len(seen[0]) - total.shape[0])), (0, max(0, len(seen[1]) - total.shape[1]))))
+                total[np.ix_(*at)] += np.frombuffer(overlaps, np.uint32 if wide else np.uint16).reshape(len(at[0]), len(at[1]))
+        if unit:
+            yield linked()
+
+    parts = rows.mapInArrow(cut, cut_schema).repartition("crowd", "i", "j", "fragment").sortWithinPartitions("crowd", "i", "j", "fragment")
+    tables = parts.mapInArrow(count, table_schema).repartition("crowd", "i", "j").sortWithinPartitions("crowd", "i", "j")
+    return stored(tables.mapInArrow(link, "a long, b long"), "links")
+
+
+def table_of_overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``."""
+    total = np.zeros((len(a), len(b)), np.int64)
+    (ha, ra), (hb, rb) = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])) for x in (a, b))
+    shared = np.intersect1d(ha, hb)
+    sides = []
+    for h, r, n in ((ha, ra, len(a)), (hb, rb, len(b))) if len(shared) else ():
+        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        in_ = shared[at] == h
+        sides.append((r[in_], at[in_], n))
+    for begin in range(0, len(shared), 2048):  # columns of a dense strip
+        strip = []
+        for r, at, n in sides:
+            own = (at >= begin) & (at < begin + 2048)
+            m = np.zeros((n, min(2048, len(shared) - begin)), np.float32)
+            m[r[own], at[own] - begin] = 1
+            strip.append(m)
+        total += np.rint(strip[0] @ strip[1].T).astype(np.int64)
+    return total
+
+
+def spanning(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Of some links as many as it takes to join what they join."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    out = []
+    for u, v in zip(a, b, strict=True):
+        p, q = find(u), find(v)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((u, v))
+    return out
 
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -349,10 +349,11 @@ def test_jaccard_join(edge_docs, edge_rows, no_docs):
     assert jaccard_join.join_components(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("words, percent, salt, reach", [(4, 85, 7, 1), (5, 80, 2048, 4), (2, 50, 64, 2)])
-def test_jaccard_join_of_many_near_copies(spark, monkeypatch, words, percent, salt, reach):
+@pytest.mark.parametrize("words, percent, salt, crowd, block", [(4, 85, 7, 1, 7), (5, 80, 512, 16, 1024), (2, 50, 64, 3, 20)])
+def test_jaccard_join_of_many_near_copies(spark, monkeypatch, words, percent, salt, crowd, block):
     monkeypatch.setattr(jaccard_join, "SALT", salt)
-    monkeypatch.setattr(jaccard_join, "REACH", reach)
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(words)
     rows, base = [], [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 120]))] for _ in range(6)]
     for k in range(150):

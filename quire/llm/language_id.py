@@ -7,8 +7,8 @@ longer known context that has not adds its escape cost (method C: distinct follo
 over all followers plus distinct). Statistics are frozen: scoring changes nothing, so a
 text has one exact code length per language, and the shortest wins.
 
-Learning takes a bounded sample (``SAMPLE_DOCS`` documents a language, the first by a
-hash of the id, whole texts); the trees are merged into sorted tables of contexts and
+Learning takes a bounded sample (``SAMPLE_DOCS`` documents and ``LANGUAGE_BYTES`` bytes a
+language, the first by a hash of the id, whole texts, ``ALL_BYTES`` in all); the trees are merged into sorted tables of contexts and
 broadcast, which that bound also bounds. Scoring looks the bytes of whole texts up in
 those tables, many at a time; no document moves.
 
@@ -24,14 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
 
 ORDER = 4
-#: Bound of the learning sample: documents per language.
-SAMPLE_DOCS = 150
+#: Bounds of the learning sample: documents and bytes of one language, bytes of all languages.
+SAMPLE_DOCS, LANGUAGE_BYTES, ALL_BYTES = 150, 2 << 20, 32 << 20
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes scored at a time.
 PIECE = 1 << 19
@@ -159,23 +159,26 @@ class Trees:
         return self.languages[best], float(1 / np.exp2(np.maximum((bits[best] - bits) / 16, -1000)).sum())
 
 
-def learning_sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS) -> dict[str, list[bytes]]:
-    """Whole texts of the first documents of each language by a hash of their ids."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    languages = [r[0] for r in rows.select("lang").distinct().collect()]
-    found: dict[str, list[bytes]] = {}
-    for lang in languages:
-        own = rows.filter(F.col("lang") == lang)
-        last = own.orderBy("h").limit(docs_per_language).agg(F.max("h")).first()[0]
-        found[lang] = last
-    picked = None
-    for lang, last in found.items():
-        one = (F.col("lang") == lang) & (F.xxhash64(F.col("doc_id").cast("string")) <= last)
-        picked = one if picked is None else picked | one
+def learning_sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, language_bytes: int = LANGUAGE_BYTES, all_bytes: int = ALL_BYTES) -> dict[str, list[bytes]]:
+    """Whole texts of the first documents of each language by a hash of their ids, bounded in number and in bytes.
+
+    One pass ranks ids and sizes (ranks are cut off before the shuffle, so no language is
+    gathered), a second fetches the texts that were chosen. Texts above an eighth of a
+    language's bytes are not learned from; of rows that share an id one counts.
+    """
+    key, size = F.xxhash64(F.col("doc_id").cast("string")), F.octet_length(F.col("text").cast("binary")).cast("long")
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), key.alias("h"), size.alias("size"), F.col("text").cast("string").alias("text"))
+    n = rows.agg(F.approx_count_distinct("lang", 0.01)).first()[0]
+    room = min(language_bytes, all_bytes // max(1, n))
+    ids = rows.filter(F.col("size") <= room // 8).groupBy("lang", "h").agg(F.max("size").alias("size"))
+    by = Window.partitionBy("lang").orderBy("h")
+    first = ids.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= docs_per_language)
+    first = first.withColumn("sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= room)
+    last = first.groupBy("lang").agg(F.max("h").alias("last"))  # one row a language
+    chosen = rows.join(F.broadcast(last), "lang").filter((F.col("h") <= F.col("last")) & (F.col("size") <= room // 8))
     texts: dict[str, list[bytes]] = {}
-    if picked is not None:
-        for lang, text in labelled.filter(picked & F.col("text").isNotNull()).select(F.col("lang").cast("string"), F.col("text").cast("binary")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "text").collect():
-            texts.setdefault(lang, []).append(bytes(text))
+    for lang, _, text in chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect():
+        texts.setdefault(lang, []).append(text.encode())
     return texts
 
 

@@ -10,9 +10,13 @@ Per text, all inside one projection:
 1. its licence words with their places;
 2. phrases: the places of a phrase's rarest word, shifted by its offset, are intersected
    with the shifted places of the phrase's other words, rarest first;
-3. templates: every rare word's places vote for where the template would start; the start
-   with most votes gives the share of the template's rare words that stand in place;
-4. a label counts if its template stands well enough and its mandatory phrases occur.
+3. templates: every word's places vote for where the template would start; the start with
+   most votes gives the share of the template's words that stand in place;
+4. a label counts if its template stands well enough and its mandatory phrases occur, and
+   if no label stands in its way (``UNLESS``).
+
+Rarity only decides in which order postings are looked up and which texts are indexed at
+all, so a text's labels do not depend on the texts beside it.
 
 Edge cases: null and empty texts have no words and no labels; ties between starts do not
 matter, as only the number of votes counts; repeated rows are scanned one by one; an
@@ -65,10 +69,20 @@ TEMPLATES = {
     "proprietary": ("all rights reserved no part of this work may be reproduced without prior written permission", ["all rights reserved"]),
     "unlicense": ("this is free and unencumbered software released into the public domain", ["released into the public domain"]),
 }
-#: Share of a template's rare words that must stand in place.
+TEMPLATES |= {
+    "bsd-2-clause": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice"]),
+    "lgpl-2.1": ("under the terms of the gnu lesser general public license version 2 1", ["gnu lesser general public license version 2 1"]),
+    "lgpl-2.1/header": ("gnu lesser general public license as published by the free software foundation either version 2 1 of the license", ["gnu lesser general public license as published by the free software foundation either version 2 1 of the license"]),
+    "lgpl-2.1/text": ("gnu lesser general public license version 2 1 february 1999", ["gnu lesser general public license version 2 1"]),
+    "zlib": ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable", "altered source versions must be plainly marked as such"]),
+}
+#: Identifiers of SPDX tags that give a label; "-only" and "-or-later" may follow.
+SPDX = "AGPL-3.0 Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense Zlib".split()
+TEMPLATES |= {f"{x.lower()}/spdx": (tag := "spdx license identifier " + " ".join(x.lower().replace(".", "-").split("-")), [tag]) for x in SPDX}
+#: A label whose notice is part of another's does not count beside that one.
+UNLESS = {"bsd-2-clause": ["bsd-3-clause"]}
+#: Share of a template's words that must stand in place.
 COVERAGE = 0.75
-#: Rare words of a template that vote: those of highest IDF in the corpus.
-RARE_WORDS = 12
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -103,17 +117,16 @@ def phrase_starts(hits: str, anchors: str, phrase: str, rarity: dict[str, float]
 
 
 def template_votes(hits: str, template: str, rarity: dict[str, float]) -> tuple[Column, int]:
-    """Most rare words of the template that agree on one start, and how many there are."""
+    """Most words of the template that agree on one start, and how many there are."""
     words = template.split()
-    rare = rarest_first(words, rarity)[:RARE_WORDS]
-    starts = F.sort_array(reduce(lambda x, y: F.concat(x, y), [_places(hits, words[k], k) for k in rare]))
+    starts = F.sort_array(reduce(lambda x, y: F.concat(x, y), [_places(hits, words[k], k) for k in rarest_first(words, rarity)]))
     zero = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(s: Column, x: Column) -> Column:
         run = F.when(s["at"] == x, s["run"] + 1).otherwise(1)
         return F.struct(x.cast("int").alias("at"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
 
-    return F.aggregate(starts, zero, step, lambda s: s["best"]), len(rare)
+    return F.aggregate(starts, zero, step, lambda s: s["best"]), len(words)
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
@@ -141,6 +154,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE) -> Da
     base = F.flatten(F.array(*[at(p) for p in BASE]))
     base_labels = [F.when(F.size(at(p)) > 0, F.lit(label)) for p, label in BASE.items()]
     own = [F.when(c >= coverage, F.lit(label.split("/")[0])) for label, c in stands.items()]
+    in_way = {label: [c for other, c in stands.items() if other.split("/")[0] in others] for label, others in UNLESS.items() if label in stands}
+    for k, label in enumerate(stands):
+        for c in in_way.get(label, ()):
+            own[k] = F.when(c < coverage, own[k])
     joined = lambda cs: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*cs)))), ",")
     score = F.greatest(*[F.when(c >= coverage, c).otherwise(0.0) for c in stands.values()], F.when(F.size(base) > 0, F.lit(1.0)).otherwise(0.0))
     return df.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(base).cast("long").alias("first_word"), F.array_max(base).cast("long").alias("last_word"), joined(base_labels).alias("base_labels"), joined(base_labels + own).alias("labels"), score.alias("score"))

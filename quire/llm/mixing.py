@@ -75,7 +75,7 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return per.select("source", "rank", "n_rows", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
     """doc_id, row_hash, size, source_size, target, taken, position and position_again of every document.
 
     ``position`` (0 to 1) is the training time of the first copy, ``position_again`` that
@@ -98,21 +98,29 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     taken = parts[0]
     for p in parts[1:]:
         taken = taken + p
-    out = df.select("doc_id", "row_hash", "size", "source_size", "target", taken.alias("taken"), times[0].alias("position"), times[1].alias("position_again"))
-    return out.orderBy(F.col("position").asc_nulls_last(), "row_hash")
+    return df.select("doc_id", "row_hash", "size", "source_size", "target", taken.alias("taken"), times[0].alias("position"), times[1].alias("position_again"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """The plan, range-sorted by position."""
+    return plan(docs, **how).orderBy(F.col("position").asc_nulls_last(), "row_hash")
 
 
 def training_stream(docs: DataFrame, **how) -> DataFrame:
-    """The documents that the mix takes, with their own columns, once for each time they are taken.
+    """The documents that the mix takes, with their own columns, once for each time they are taken, in training order.
 
     A document that is taken in part stays whole. Rows are matched to their plan by id and
-    hash; repeated rows share one plan, that of the copy that is taken most.
+    hash; of repeated rows the first gets the first plan, and so on, as they are all alike.
     """
-    plan = mix(docs, **how).groupBy("doc_id", "row_hash").agg(F.max((F.col("position").isNotNull()).cast("int") + F.col("position_again").isNotNull().cast("int")).alias("_times"))
-    plan = plan.filter("_times > 0").select(F.col("doc_id").alias("_doc_id"), F.col("row_hash").alias("_row_hash"), "_times")
-    keyed = docs.withColumn("_own_hash", row_hash(F.col("doc_id"), F.col("text")))
-    found = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["_doc_id"]) & (keyed["_own_hash"] == plan["_row_hash"]))
-    return found.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    alike = lambda *order: F.row_number().over(Window.partitionBy("_doc_id", "_row_hash").orderBy(*order))
+    planned = plan(docs, **how).select(F.col("doc_id").alias("_doc_id"), F.col("row_hash").alias("_row_hash"), F.array_compact(F.array("position", "position_again")).alias("_at"))
+    planned = planned.withColumn("_nth", alike(F.col("_at"))).filter(F.size("_at") > 0)
+    keyed = docs.withColumns({"_doc_id": F.col("doc_id"), "_row_hash": row_hash(F.col("doc_id"), F.col("text"))})
+    keyed = keyed.withColumn("_nth", alike(F.col("_row_hash")))
+    left, right = keyed.alias("l"), planned.alias("r")
+    same = F.col("l._doc_id").eqNullSafe(F.col("r._doc_id")) & (F.col("l._row_hash") == F.col("r._row_hash")) & (F.col("l._nth") == F.col("r._nth"))
+    found = left.join(right, same).select(*[F.col(f"l.{c}") for c in docs.columns], F.col("l._row_hash").alias("_row_hash"), F.explode("r._at").alias("_time"))
+    return found.orderBy("_time", "_row_hash").select(*docs.columns)
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import bucket_bits, checkpointed, prefix_sums, row_hash, table
 
-SHARDS, OVERHEAD, BINS = 40, 16, 512
+SHARDS, OVERHEAD, DIMS, BINS = 40, 16, 4, 2048
 #: A cut stands once the bin around it holds less than this part of a shard's bytes.
 TOLERANCE = 1 / 2000
 _HALF = 1 << 31
@@ -47,24 +47,26 @@ def _at(values: list, index: Column, kind: str) -> Column:
 
 
 def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, row_hash and the dimensions (31 bits each, as an array) of every document."""
+    """doc_id, size, text_crc32, row_hash and the dimensions (31 bits each, as an array) of every document.
+
+    Dimensions are the id, the logarithm of the size, and the language's and the source's
+    place in the alphabet (by their first four bytes), each spread evenly between its least
+    and its greatest value, so widths can be compared.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    name = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.shiftright(F.crc32(F.col(c).cast("binary")), 1))
+    place = lambda c: F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.col(c).cast("string").cast("binary"), 1, 4)), 8, "0"), 16, 10).cast("double") + 1, F.lit(0.0))
+    size = F.octet_length(text).cast("long") + OVERHEAD
     df = docs.select(
-        "doc_id",
-        (F.octet_length(text).cast("long") + OVERHEAD).alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        row_hash(F.col("doc_id"), F.col("text")).alias("row_hash"),
-        F.col("doc_id").cast("double").alias("_id"),
-        name("lang").alias("_lang"),
-        name("source").alias("_source"),
-    )
+        "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), row_hash(F.col("doc_id"), F.col("text")).alias("row_hash"),
+        F.col("doc_id").cast("double").alias("_d0"), F.log2(size).alias("_d1"), place("lang").alias("_d2"), place("source").alias("_d3"),
+    )
     df = checkpointed(df)
-    # Sizes are spread by their logarithm, ids evenly between the least and the greatest.
-    lo, hi = df.agg(F.min("_id"), F.max("_id")).first()
-    even = F.coalesce(((F.col("_id") - F.lit(lo or 0.0)) / F.lit(max((hi or 0.0) - (lo or 0.0), 1.0)) * (_HALF - 1)).cast("long"), F.lit(0).cast("long"))
-    sizes = (F.least(F.log2("size") / 40, F.lit(1.0)) * (_HALF - 1)).cast("long")
-    return df.withColumn("_dims", F.array(even, sizes, F.col("_lang").cast("long"), F.col("_source").cast("long"))).drop("_id", "_lang", "_source")
+    ends = df.agg(*[f(f"_d{k}") for k in range(DIMS) for f in (F.min, F.max)]).first()
+    dims = []
+    for k in range(DIMS):
+        lo, hi = (float(x or 0.0) for x in ends[2 * k : 2 * k + 2])
+        dims.append(F.coalesce(((F.col(f"_d{k}") - lo) / max(hi - lo, 1e-9) * (_HALF - 1)).cast("long"), F.lit(0).cast("long")))
+    return df.select("doc_id", "size", "text_crc32", "row_hash", F.array(*dims).alias("_dims"))
 
 
 def build_tree(meta: DataFrame, shards: int, tolerance: float = TOLERANCE) -> list[list[Node]]:
@@ -74,11 +76,10 @@ def build_tree(meta: DataFrame, shards: int, tolerance: float = TOLERANCE) -> li
     while any(n.leaves > 1 for n in levels[-1]):
         nodes = levels[-1]
         placed = assign(meta, levels[:-1], "_node")
-        n_dims = 4
-        shape = placed.groupBy("_node").agg(F.sum("size").alias("b"), *[f(F.get(F.col("_dims"), F.lit(d))).alias(f"{k}{d}") for d in range(n_dims) for k, f in (("lo", F.min), ("hi", F.max))])
+        shape = placed.groupBy("_node").agg(F.sum("size").alias("b"), *[f(F.get(F.col("_dims"), F.lit(d))).alias(f"{k}{d}") for d in range(DIMS) for k, f in (("lo", F.min), ("hi", F.max))])
         for row in shape.collect():  # one row per node
             n = nodes[row["_node"]]
-            n.dim = max(range(n_dims), key=lambda d: (row[f"hi{d}"] - row[f"lo{d}"], -d))
+            n.dim = max(range(DIMS), key=lambda d: (row[f"hi{d}"] - row[f"lo{d}"], -d))
             n.low, n.high = row[f"lo{n.dim}"] * _HALF, (row[f"hi{n.dim}"] + 1) * _HALF - 1
             n.want = row["b"] * (n.leaves // 2) / n.leaves
             total = row["b"] if total is None else total
@@ -142,10 +143,10 @@ def assign(df: DataFrame, levels: list[list[Node]], out: str) -> DataFrame:
     return df
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document."""
     meta = metadata(docs)
-    levels = build_tree(meta, shards)
+    levels = build_tree(meta, shards, tolerance)
     number, numbers = 0, []
     for n in levels[-1]:
         numbers.append(number if n.leaves else -1)

@@ -28,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, scratch, table
+from quire.llm.common import checkpointed, scratch, stored, table
 
 FILE_BYTES = 8 << 20
+#: Revisits up to this number are broadcast to the records; more are joined by their ids, which differ.
+BROADCAST_ROWS = 200_000
 #: Payloads below this size are never revisits.
 LEAST = 100
 #: Fields of a record's header line, by the version that the file's first block declares.
@@ -137,10 +139,13 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 
 def write_warc(records: DataFrame, path: str, least: int = LEAST) -> None:
     """WARC files: a response per payload, revisits of it for the others, as said in the module's text."""
-    sized = records.withColumn("_bytes", F.octet_length("payload").cast("long"))
-    firsts = sized.filter(F.col("_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("_first"), F.min_by("record_id", "page_id").alias("_first_record"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    df = sized.join(firsts.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
-    revisit = F.coalesce(F.col("_first") < F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1)), F.lit(False))
+    # decided on ids and digests alone: a popular payload's records meet without their payloads, and Spark may split them
+    keys = records.select("page_id", "digest", "record_id", F.octet_length("payload").cast("long").alias("_bytes")).filter(F.col("_bytes") >= least)
+    firsts = keys.groupBy("digest").agg(F.min("page_id").alias("_first"), F.min_by("record_id", "page_id").alias("_first_record"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    later = keys.join(stored(firsts, "firsts"), "digest").filter(F.col("_first") < F.coalesce(F.col("page_id"), F.lit((1 << 63) - 1)))
+    later = stored(later.select(F.col("record_id").alias("_again"), "_first_record").distinct(), "revisits")
+    df = records.join(F.broadcast(later) if later.count() <= BROADCAST_ROWS else later, F.col("record_id") == F.col("_again"), "left")
+    revisit = F.col("_again").isNotNull()
     block = F.concat(F.col("head"), F.lit("\r\n\r\n"), F.when(revisit, "").otherwise(F.col("payload")))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     refers = F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<"), F.col("_first_record"), F.lit(">"))), F.lit("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"))).otherwise("")
@@ -207,7 +212,7 @@ def convert(pages: DataFrame) -> DataFrame:
         even = F.coalesce(F.pmod("page_id", F.lit(2)) == 0, F.lit(False))
         part = pages.filter(even if version == 1 else ~even)
         write_arc(part.repartition(max(1, size // (2 * FILE_BYTES))), f"{arc}/v{version}", version)
-    write_warc(read_arc(spark, f"{arc}/v*"), warc)
+    write_warc(stored(read_arc(spark, f"{arc}/v*"), "records"), warc)  # parsed once, read by column
     found = checkpointed(read_warc(spark, warc))
     responses = found.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_record")).agg(F.min("page_id").alias("_page"), F.min("payload_bytes").alias("_bytes"))
     # only a revisit asks for another record, so only revisits are joined

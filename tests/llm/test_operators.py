@@ -179,7 +179,11 @@ def test_mix_reaches_targets(edge_docs, edge_rows, no_docs):
     assert positions == sorted(positions) and 0 <= positions[0] and positions[-1] <= 1
     assert sorted(map(tuple, mixing.mix(edge_docs).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert mixing.mix(no_docs).count() == 0
-    assert mixing.training_stream(edge_docs).columns == edge_docs.columns
+    stream = mixing.training_stream(edge_docs)
+    assert stream.columns == edge_docs.columns
+    order = sorted((p, r["row_hash"], r["doc_id"]) for r in got for p in (r["position"], r["position_again"]) if p is not None)
+    assert [r["doc_id"] for r in stream.collect()] == [d for _, _, d in order]
+    assert mixing.training_stream(no_docs).count() == 0
 
 
 @pytest.mark.parametrize("schedule", mixing.SCHEDULES)
@@ -211,6 +215,41 @@ def test_sharding(spark, sf, edge_docs, edge_rows, no_docs):
     assert len(sizes) == 7 and max(sizes.values()) <= 1.05 * min(sizes.values())
 
 
+def tree_shards(rows, shards, first=0):
+    """The k-d tree by recursion: rows are (size, dims, row_hash); gives each row's shard."""
+    if shards == 1 or not rows:
+        return [first] * len(rows)
+    wide = max(range(4), key=lambda d: (max(r[1][d] for r in rows) - min(r[1][d] for r in rows), -d))
+    key = [(r[1][wide] << 31) + (r[2] >> 32) for r in rows]
+    per = Counter()
+    for k, r in zip(key, rows, strict=True):
+        per[k] += r[0]
+    want, below, cut = sum(r[0] for r in rows) * (shards // 2) / shards, 0, None
+    for k in sorted(per):
+        if below + per[k] >= want:
+            cut = k if below + per[k] - want <= want - below else k - 1
+            break
+        below += per[k]
+    left = [k <= cut for k in key]
+    sides = [iter(tree_shards([r for r, x in zip(rows, left, strict=True) if x == side], shards // 2 if side else shards - shards // 2, first if side else first + shards // 2)) for side in (False, True)]
+    return [next(sides[x]) for x in left]
+
+
+@pytest.mark.parametrize("shards", [2, 5, 13])
+def test_sharding_is_the_tree_by_recursion(spark, shards):
+    rng = random.Random(shards)
+    rows = [(rng.randrange(10**6), "x" * int(rng.paretovariate(0.7) * 20 % 40_000), rng.choice(["en", "de", None]), rng.choice(["a", "b", "", "longer"])) for _ in range(600)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string, source string")
+    meta = sharding.metadata(df).collect()
+    wanted = Counter(zip([r["doc_id"] for r in meta], tree_shards([(r["size"], r["_dims"], r["row_hash"]) for r in meta], shards), strict=True))
+    got = sharding.shard(df, shards, tolerance=0.0).collect()
+    assert Counter((r["doc_id"], r["shard"]) for r in got) == wanted
+    sizes = Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) - min(sizes[k] for k in range(shards)) <= 2 * max(r["size"] for r in got)
+
+
 # 6 -------------------------------------------------------------------------------------
 
 
@@ -405,9 +444,40 @@ def test_secret_scan(edge_docs, edge_rows, no_docs):
 
 
 def test_models_tell_held_out_samples_apart():
+    models = secret_scan.made_models()
     secrets, names = secret_scan.labelled_samples(1000, seed=99)
-    assert np.mean([secret_scan.randomness(x) > secret_scan.THRESHOLD for x in secrets]) > 0.98
-    assert np.mean([secret_scan.randomness(x) > secret_scan.THRESHOLD for x in names]) < 0.01
+    assert np.mean([models.is_secret(x) for x in secrets]) > 0.98
+    assert np.mean([models.is_secret(x) for x in names]) < 0.01
+    rng = random.Random(4)
+    for alphabet in secret_scan.ALPHABETS[1:]:  # short ones, and ones without a digit, as well
+        assert np.mean([models.is_secret("".join(rng.choices(alphabet, k=16))) for _ in range(200)]) > 0.95
+
+
+def test_secrets_in_texts(spark, sf):
+    """Keys planted into the documents are found where they stand, and nothing else is."""
+    rng = random.Random(6)
+    rows, planted = [], {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 3000").orderBy("doc_id").limit(100).collect():
+        key = "".join(rng.choices(secret_scan.ALPHABETS[rng.randrange(1, len(secret_scan.ALPHABETS) - 2)], k=rng.randint(18, 40)))
+        at = r["text"].find(" ") + 1
+        rows.append((r["doc_id"], r["text"][:at] + "path/" + key + " " + r["text"][at:]))
+        planted[r["doc_id"]] = key
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hit = 0
+    for r in secret_scan.find_secrets(df).join(df, "doc_id").collect():
+        found = [r["text"][int(s) : int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(",") if x) if k == "markov"]
+        good = [x for x in found if len(set(range(len(x)))) and (x in "path/" + planted[r["doc_id"]] or planted[r["doc_id"]] in x)]
+        hit += bool(good)
+        assert len(found) - len(good) <= 1
+    assert hit >= 95
+
+
+def test_what_a_fixed_span_leaves_of_a_run():
+    models = secret_scan.made_models()
+    text = "x " + "Zx8Qp2Lm9Vt4Rk7Nw3Yb6Hc1Gd5" + "0123456789abcdef" * 2 + "/Zx8Qp2Lm9Vt4Rk7Nw3Yb6Hc1Gd5"
+    base = secret_scan.base_spans(text)
+    found = [text[s:e] for s, _, e in secret_scan.model_spans(text, base, models)]
+    assert len(base) == 1 and len(found) == 2 and all("Zx8Qp2Lm9Vt4Rk7Nw3Yb6Hc1G" in x for x in found)
 
 
 # 10 ------------------------------------------------------------------------------------
@@ -458,6 +528,14 @@ def test_language_id(edge_docs, no_docs):
     assert {r["lang_pred"] for r in language_id.identify(edge_docs, nothing).collect()} == {"und"}
 
 
+def test_learning_sample_is_bounded(spark):
+    rows = [(k, "word " * (k % 7 + 1), "en" if k % 3 else "de") for k in range(200)] + [(7, "word " * 4, "en")] * 50 + [(999, "x" * 100_000, "fr"), (None, "nur so", "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = language_id.learning_sample(df, docs_per_language=30, language_bytes=4000, all_bytes=6000)
+    assert sorted(got) == ["de", "en"] and all(len(v) <= 30 and sum(map(len, v)) <= 2000 for v in got.values())
+    assert got == language_id.learning_sample(df.repartition(2), docs_per_language=30, language_bytes=4000, all_bytes=6000)
+
+
 def test_held_out_accuracy(spark, sf):
     rows = language_id.op10_ppm_language(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.95

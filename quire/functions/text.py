@@ -92,6 +92,16 @@ def normalize_issn(c: Column) -> Column:
     return _sub(F.upper(text(c)), "[^0-9X]")
 
 
+def split_issns(c: Column) -> Column:
+    """Normalised numbers between semicolons, blanks dropped."""
+    return F.filter(F.transform(F.split(text(c), ";"), normalize_issn), lambda x: x != "")
+
+
+def map_get(entries: Column, key: Column, default: Column) -> Column:
+    """Value of a key in a map, or the default."""
+    return F.coalesce(F.element_at(entries, key), default)
+
+
 def clean_for_match(c: Column) -> Column:
     """Folded, lower case, ``&`` spelled out, volumes in digits, punctuation to blanks."""
     lowered = roman_volumes(F.replace(F.replace(F.lower(ascii_fold(c)), F.lit("ß"), F.lit("ss")), F.lit("&"), F.lit(" and ")))
@@ -127,9 +137,14 @@ def strip_known_prefixes(c: Column) -> Column:
     return strip_ends(_sub(F.trim(text(c)), lead))
 
 
+# Patterns that results depend on.
 _VOLUME = r"(?i)(?:\bvol(?:ume)?\.?\s*(?:\d+|[ivxlcdm]+)\b|\bpart\s+(?:\d+|[ivxlcdm]+)\b|\(\s*(?:\d+|[ivxlcdm]+)\s*\))$"
 
 
+_CAPITALS = r"\b[A-Z][A-Z0-9/&\-]{1,24}\b"
+# End of fixed values.
+
+
 def strip_variant_noise(c: Column) -> Column:
     """Trailing volumes and variant labels go; parentheses go with a label in them, else they are opened."""
     v = strip_ends(_sub(c, _VOLUME))
@@ -139,6 +154,22 @@ def strip_variant_noise(c: Column) -> Column:
     return normalize_spaces(strip_ends(_sub(v, _VOLUME)))
 
 
+def child_alias(c: Column) -> Column:
+    """Key of a name without wrappers and years."""
+    return clean_for_match(_sub(strip_trailing_year(strip_known_prefixes(normalize_spaces(c))), r"\b(?:18|19|20)\d{2}\b", " "))
+
+
+def parent_alias(c: Column) -> Column:
+    """Key of a name without wrappers, variant labels, volumes and years."""
+    return clean_for_match(_sub(strip_trailing_year(strip_variant_noise(strip_known_prefixes(normalize_spaces(c)))), r"\b(?:18|19|20)\d{2}\b", " "))
+
+
+def conference_series(crossref: Column, key: Column) -> Column:
+    """The first two parts of the first of both that is a conference's; else empty."""
+    of = lambda c: F.when(F.startswith(F.trim(c), F.lit("conf/")), F.array_join(F.slice(F.split(F.trim(c), "/"), 1, 2), "/"))
+    return F.coalesce(of(crossref), of(key), F.lit(""))
+
+
 def strip_parentheses(c: Column) -> Column:
     return normalize_spaces(_sub(text(c), r"\([^)]*\)", " "))
 
@@ -176,7 +207,7 @@ def split_segments(c: Column) -> Column:
 
 def acronym_candidates(c: Column) -> Column:
     """Compact forms (2 to 24) of capital tokens and of their parts at ``-`` and ``/``, in order of the alphabet."""
-    tokens = F.regexp_extract_all(text(c), F.lit(r"\b[A-Z][A-Z0-9/&\-]{1,24}\b"), F.lit(0))
+    tokens = F.regexp_extract_all(text(c), F.lit(_CAPITALS), F.lit(0))
     parts = F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.split(t, "[-/]"))))
     keys = F.transform(parts, compact_key)
     return F.array_sort(F.array_distinct(F.filter(keys, lambda k: F.length(k).between(2, 24))))
@@ -255,7 +286,7 @@ def historical_aliases(c: Column) -> Column:
     """Names in parentheses that speak of a former, merged or combined venue: capital tokens, phrases and their parts."""
     groups = F.filter(F.transform(F.regexp_extract_all(text(c), F.lit(r"\(([^)]*)\)"), F.lit(1)), normalize_spaces), lambda g: F.lower(g).rlike(ALIAS_MARKERS))
     own = lambda xs: F.filter(xs, lambda x: (x != "") & ~F.lower(x).isin(SPONSORS))
-    tokens = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(r"\b[A-Z][A-Z0-9/&\-]{1,24}\b"), F.lit(0))))
+    tokens = F.flatten(F.transform(groups, lambda g: F.regexp_extract_all(g, F.lit(_CAPITALS), F.lit(0))))
     parts = F.flatten(F.transform(tokens, lambda t: F.split(t, "[-/]")))
     said = r"(?i)\b(?:was|previously|prior to \d{4}|prior to|formerly|changed in \d{4}|changed|until \d{4}|until|merged with|merged|combined from \d{4}|combined from|combined)\b"
     phrases = F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, "[;,]"))), lambda p: normalize_spaces(_sub(p, said, " "))), lambda p: p != "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +48,37 @@ def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str], seq: str
     return existing.unionByName(fresh.select(*existing.columns))
 
 
+def numbered(df: DataFrame, order: str, ties: list[str], out: str, buckets: int = 1024) -> DataFrame:
+    """Adds numbers from 1 on in the order of a numeric column and the ties.
+
+    Rows fall into ranges of equal width; a range is numbered by itself and goes on from
+    the counts of those before, so no task orders all rows.
+    """
+    ends = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    place = F.floor((F.col(order) - F.col("_lo")) * (buckets - 1) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1))).cast("int")
+    ranged = df.join(F.broadcast(ends)).withColumn("_range", place).drop("_lo", "_hi")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as ranges
+    before = counts.select(F.col("_range"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order, *ties))
+    return ranged.withColumn("_k", within).join(F.broadcast(before), "_range").withColumn(out, F.col("_k") + F.col("_before")).drop("_range", "_k", "_before")
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], seq: str, updated: list[str], kept_id: str) -> DataFrame:
-    """Last new row per key wins for ``updated``; rows that are there keep their id; new ones get a null id."""
-    n, o = last_wins(new, keys, seq).alias("n"), existing.alias("o")
-    on = [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    j = o.join(n, cond, "full_outer")
+    """Last new row per key wins for ``updated``; rows that are there keep their id.
+
+    Keys that are not there yet get ids that go on from the greatest, in the order in which
+    they first come (a numeric ``seq``), then of the keys.
+    """
+    first = F.min(seq).over(Window.partitionBy(*keys))
+    n, o = last_wins(new.withColumn("_first", first), keys, seq).alias("n"), existing.alias("o")
+    same = reduce(lambda x, y: x & y, [F.col(f"n.{k}") == F.col(f"o.{k}") for k in keys])
+    j = o.join(n, same, "left")
     is_new = F.col(f"n.{keys[0]}").isNotNull()
-    cols = [F.coalesce(f"n.{k}", f"o.{k}").alias(k) for k in keys] + [F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in updated]
-    return j.select(F.col(f"o.{kept_id}").alias(kept_id), *cols)
+    was = j.select(f"o.{kept_id}", *[F.col(f"o.{k}") for k in keys], *[F.when(is_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in updated])
+    fresh = numbered(n.join(o, same, "left_anti").select(*[F.col(f"n.{k}") for k in keys], *[F.col(f"n.{c}") for c in updated], "_first"), "_first", keys, "_number")
+    top = existing.agg(F.coalesce(F.max(kept_id), F.lit(0)).alias("_top"))
+    added = fresh.join(F.broadcast(top)).select((F.col("_top") + F.col("_number")).alias(kept_id), *keys, *updated)
+    return was.unionByName(added)
 
 
 def missing(rows: DataFrame, present: DataFrame, key: str) -> DataFrame:
@@ -138,6 +160,26 @@ def load_facts(papers: DataFrame, venue_map: DataFrame, venue: str, key: str) ->
     return papers.join(m, X.clean_text(F.col(venue)) == m["_name"], "left").drop("_name")
 
 
+def all_facts(sources: dict[str, tuple[DataFrame, DataFrame, str, str]]) -> DataFrame:
+    """Papers of every kind in one table with their kind and the venue's id, null in the other kinds' columns.
+
+    sources: kind to (papers, venue map, column of the venue's name, column of the id).
+    """
+    parts = [load_facts(papers, m, venue, key).drop(venue).withColumn("type", F.lit(kind)) for kind, (papers, m, venue, key) in sources.items()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def renumbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``line_no``: dense numbers from 2 on, as lines under a header. For lookups of a few thousand rows: one task orders them."""
+    return rows.withColumn("line_no", F.row_number().over(Window.orderBy(*order)) + 1)
+
+
+def ordered_dedup(explicit: DataFrame, derived: DataFrame, key: str) -> DataFrame:
+    """Rows of both without repeats of the key; explicit rows come before derived ones."""
+    both = explicit.withColumn("_p", F.lit(0)).unionByName(derived.withColumn("_p", F.lit(1)))
+    return first_wins(both, [key], "_p").drop("_p")
+
+
 def resolve_links(links: DataFrame, papers: DataFrame, authors: DataFrame) -> DataFrame:
     """(raw_id, author_name, author_order) to ids; links that lack either end go, and the first of equal pairs stays."""
     j = links.join(papers.select("raw_id", "paper_id"), "raw_id").join(authors.select(F.col("name_exact").alias("author_name"), "author_id"), "author_name")

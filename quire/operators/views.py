@@ -8,6 +8,8 @@ sum(n * n) / sum(n)); only distinct authors need the links themselves.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,15 +158,55 @@ def condition(c: Column, name: str) -> Column:
     return F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long").alias(name)
 
 
-def validation_checks(papers: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
-    """One row per check (check_name, failures), each table read once."""
+#: Counts that a load is held against, in the order of the report.
+COUNTS = ["papers_total", "papers_conference", "papers_journal", "authors", "paper_authors", "matched_conference_rows", "unmatched_conference_rows", "matched_journal_rows", "unmatched_journal_rows"]
+
+
+def validation_checks(papers: DataFrame, links: DataFrame, authors: DataFrame, raw: list[str], expected: dict[str, int] | None = None) -> DataFrame:
+    """The thirteen checks (check_name, actual, expected, ok), each table read once.
+
+    Structure: (type, raw id) is unique and how many rows repeat it, links without a paper or
+    an author. Counts: the load's, against ``expected``; a count without an expectation is ok.
+    """
+    kind = lambda k: F.col("type") == k
     of_papers = papers.agg(
-        condition(F.col("title").isNull() | (F.trim("title") == ""), "papers_without_title"), condition(F.col("year").isNull(), "papers_without_year"),
-        condition((F.col("type") == "conference") & F.col("journal_id").isNotNull(), "conference_with_journal"), condition((F.col("type") == "journal") & F.col("conf_id").isNotNull(), "journal_with_conference"),
-        condition(F.col("conf_id").isNull() & (F.col("type") == "conference"), "unmatched_conference_rows"), condition(F.col("journal_id").isNull() & (F.col("type") == "journal"), "unmatched_journal_rows"),
+        F.count(F.lit(1)).alias("papers_total"), condition(kind("conference"), "papers_conference"), condition(kind("journal"), "papers_journal"),
+        condition(kind("conference") & F.col("conf_id").isNotNull(), "matched_conference_rows"), condition(kind("conference") & F.col("conf_id").isNull(), "unmatched_conference_rows"),
+        condition(kind("journal") & F.col("journal_id").isNotNull(), "matched_journal_rows"), condition(kind("journal") & F.col("journal_id").isNull(), "unmatched_journal_rows"),
     )
-    twice = links.groupBy("paper_id", "author_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_links"))
+    twice = papers.groupBy("type", *raw).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_papers"))
+    people = authors.agg(F.count(F.lit(1)).alias("authors"))
+    pairs = links.agg(F.count(F.lit(1)).alias("paper_authors"))
     lost = links.join(papers, "paper_id", "left_anti").agg(F.count(F.lit(1)).alias("links_without_paper"))
     nobody = links.join(authors, "author_id", "left_anti").agg(F.count(F.lit(1)).alias("links_without_author"))
-    row = of_papers.crossJoin(twice).crossJoin(lost).crossJoin(nobody)  # one row each
-    return row.unpivot([], row.columns, "check_name", "failures")
+    row = reduce(lambda x, y: x.crossJoin(y), [of_papers, twice, people, pairs, lost, nobody])  # one row each
+    row = row.withColumn("papers_not_unique", (F.col("duplicate_papers") > 0).cast("long"))
+    names = ["papers_not_unique", "duplicate_papers", "links_without_paper", "links_without_author", *COUNTS]
+    wanted = dict.fromkeys(names[:4], 0) | (expected or {})
+    table = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    df = row.unpivot([], names, "check_name", "actual").withColumn("expected", table[F.col("check_name")])
+    return df.withColumn("ok", F.coalesce(F.col("actual") == F.col("expected"), F.lit(True)))
+
+
+def lookups(categories: DataFrame, ranks: list[str]) -> DataFrame:
+    """kind, id and name of what venues can be filtered by."""
+    own = categories.select(F.lit("category").alias("kind"), F.col("primary_for").cast("string").alias("id"), F.col("description").alias("name"))
+    fixed = categories.sparkSession.createDataFrame([("rank", r, r) for r in ranks], "kind string, id string, name string")
+    return own.unionByName(fixed)
+
+
+def profile_years(profile: DataFrame, yearly: DataFrame, key: str) -> DataFrame:
+    """A venue's profile beside each of its years, which are null for a venue without any."""
+    return profile.join(yearly, key, "left")
+
+
+def venue_total(conferences: DataFrame, journals: DataFrame) -> DataFrame:
+    """How many venues there are of both kinds together: one row."""
+    n = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    return n(conferences).unionByName(n(journals)).agg(F.sum("n").alias("venues"))
+
+
+def series_by_code(points: DataFrame, categories: DataFrame, code: str) -> DataFrame:
+    """Points of a chart with the series that their code names; codes compare as text."""
+    c = categories.select(F.col(code).cast("string").alias("_code"), "description")
+    return points.join(c, F.col(code).cast("string") == F.col("_code")).drop("_code")

@@ -6,7 +6,7 @@ import pytest
 
 from quire.operators import etl, search
 from quire.sources import readers
-from quire.streaming.rate_limit import over_limit
+from quire.streaming.rate_limit import load_increment, loaded, over_limit
 
 
 def test_conference_papers(spark, tmp_path):
@@ -59,7 +59,11 @@ def test_insert_ignore_and_upsert(spark):
     old = spark.createDataFrame([(1, "a", 5)], "id long, k string, v long")
     new = spark.createDataFrame([("a", 7, 1), ("a", 8, 2), ("b", 9, 3)], "k string, v long, seq long")
     got = {tuple(r) for r in etl.upsert(old, new, ["k"], "seq", ["v"], "id").select("id", "k", "v").collect()}
-    assert got == {(1, "a", 8), (None, "b", 9)}
+    assert got == {(1, "a", 8), (2, "b", 9)}
+    many = spark.createDataFrame([(f"k{k % 50}", k, k) for k in range(200, 0, -1)], "k string, v long, seq long").repartition(5)
+    got = {r["k"]: (r["id"], r["v"]) for r in etl.upsert(old, many, ["k"], "seq", ["v"], "id").collect()}
+    assert got["a"] == (1, 5) and all(got[f"k{k % 50}"] == (k + 1, k + 150) for k in range(1, 51))
+    assert etl.upsert(old.limit(0), many.limit(0), ["k"], "seq", ["v"], "id").count() == 0
     first = {tuple(r) for r in etl.first_wins(new, ["k"], "seq").select("k", "v").collect()}
     assert first == {("a", 7), ("b", 9)}
 
@@ -94,3 +98,12 @@ def test_rate_limit_on_a_stream(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["user_id"], r["requests"]) for r in spark.table("over").collect()} == wanted
+
+
+def test_increments_keep_what_was_there(spark, tmp_path):
+    at = f"{tmp_path}/target"
+    rows = lambda *x: spark.createDataFrame(x, "k string, v long, seq long")
+    for k, batch in enumerate([rows(("a", 1, 1), ("b", 2, 1)), rows(("a", 3, 2), ("a", 4, 3))]):
+        load_increment(batch, k, at, ["k"], "seq")
+        load_increment(batch, k, at, ["k"], "seq")
+    assert {(r["k"], r["v"]) for r in loaded(spark, at, ["k"], "seq").collect()} == {("a", 4), ("b", 2)}

@@ -13,6 +13,8 @@ from quire.llm.common import stored
 
 #: Labels up to this number are broadcast to the edges; more are joined by a shuffle that Spark may split.
 BROADCAST_ROWS = 500_000
+#: Edges that one file of a round holds.
+FILE_EDGES = 100_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,7 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(put(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").unionByName(least.select("a", F.col("m").alias("b")))
-        after = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        after = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        after = stored(after.coalesce(1 + n // FILE_EDGES), "edges")  # rounds never add edges, so small ones stay in few files
         same = after.count() == n and after.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges, n = after, after.count()
         if same:

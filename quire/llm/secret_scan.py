@@ -134,7 +134,11 @@ def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int =
     """Models of the made samples and of a bounded sample of the texts, of which every distinct run counts once."""
     size = F.octet_length(F.col("text").cast("binary"))
     rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")).alias("h")).filter(size <= sample_bytes)
-    texts = [r["text"] for r in rows.orderBy("h", "text").limit(sample_docs).collect()]
+    # a range of hashes that holds a little more than the sample, so no task sends more than its share of it
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    last = min((1 << 63) - 1, int(-(1 << 63) + 1.3 * sample_docs / max(1, n) * (1 << 64)))
+    chosen = rows.filter(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text")).orderBy("h")
+    texts = [r["text"] for r in chosen.collect()][:sample_docs]
     secrets, names = labelled_samples()
     more = text_samples(texts)
     return Models(secrets + sorted(set(more[0])), names + sorted(set(more[1])))

@@ -170,7 +170,11 @@ def learning_sample(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, l
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), key.alias("h"), size.alias("size"), F.col("text").cast("string").alias("text"))
     n = rows.agg(F.approx_count_distinct("lang", 0.01)).first()[0]
     room = min(language_bytes, all_bytes // max(1, n))
-    ids = rows.filter(F.col("size") <= room // 8).groupBy("lang", "h").agg(F.max("size").alias("size"))
+    fit = rows.filter(F.col("size") <= room // 8).select("lang", "h", "size")
+    # of each language only a range of hashes that holds some twice the sample goes on, so a language's ids never meet
+    share = F.least(F.lit(1.0), F.lit(2.0 * docs_per_language + 64) / F.approx_count_distinct("h"))
+    ends = fit.groupBy("lang").agg((share * float(1 << 64) - float(1 << 63)).cast("long").alias("end"))
+    ids = fit.join(F.broadcast(ends), "lang").filter("h <= end").groupBy("lang", "h").agg(F.max("size").alias("size"))
     by = Window.partitionBy("lang").orderBy("h")
     first = ids.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= docs_per_language)
     first = first.withColumn("sum", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("sum") <= room)

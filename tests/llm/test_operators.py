@@ -418,9 +418,18 @@ def test_no_edges_no_components(spark):
     assert connected_components(spark.createDataFrame([(3, 3), (None, 1)], "a long, b long")).count() == 0
 
 
-def test_connected_components(spark):
-    edges = [(k, k + 1) for k in range(30)] + [(100, 5), (200, 201), (201, 202)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+@pytest.mark.parametrize(("held", "batch"), [(100_000, 10_000), (100_000, 2), (3, 2)])
+def test_connected_components(spark, monkeypatch, held, batch):
+    """All edges in one task, in one task by several batches, and hung together piece by piece before the rounds."""
+    monkeypatch.setattr("quire.llm.components.FILE_EDGES", held)
+    edges = [(k, k + 1) for k in range(30)] + [(100, 5), (5, 100), (200, 201), (201, 202), (201, 202)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r["node"]: r["component"] for r in found}
+    assert len(found) == len(got)
     assert got == {**dict.fromkeys([*range(31), 100], 0), 200: 200, 201: 200, 202: 200}
 
 

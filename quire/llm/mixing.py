@@ -18,11 +18,13 @@ one; an empty table gives an empty mix. Only the id, text and source are read.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACE_WORD, bucket_bits, checkpointed, prefix_sums, row_hash, table
+from quire.llm.common import SPACE_WORD, bucket_bits, checkpointed, prefix_sums, row_hash, stored, table
 
 #: By the rank of a source, repeating.
 WEIGHTS = (3, 1, 2)
@@ -111,16 +113,35 @@ def training_stream(docs: DataFrame, **how) -> DataFrame:
 
     A document that is taken in part stays whole. Rows are matched to their plan by id and
     hash; of repeated rows the first gets the first plan, and so on, as they are all alike.
+    Only repeated rows are numbered for that, so the texts of the others move once for the
+    match and once for the order.
     """
-    alike = lambda *order: F.row_number().over(Window.partitionBy("_doc_id", "_row_hash").orderBy(*order))
+    key = ["_doc_id", "_row_hash"]
     planned = plan(docs, **how).select(F.col("doc_id").alias("_doc_id"), F.col("row_hash").alias("_row_hash"), F.array_compact(F.array("position", "position_again")).alias("_at"))
-    planned = planned.withColumn("_nth", alike(F.col("_at"))).filter(F.size("_at") > 0)
+    planned = stored(planned, "plan")
+    again = stored(planned.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*key), "again")
     keyed = docs.withColumns({"_doc_id": F.col("doc_id"), "_row_hash": row_hash(F.col("doc_id"), F.col("text"))})
-    keyed = keyed.withColumn("_nth", alike(F.col("_row_hash")))
-    left, right = keyed.alias("l"), planned.alias("r")
-    same = F.col("l._doc_id").eqNullSafe(F.col("r._doc_id")) & (F.col("l._row_hash") == F.col("r._row_hash")) & (F.col("l._nth") == F.col("r._nth"))
-    found = left.join(right, same).select(*[F.col(f"l.{c}") for c in docs.columns], F.col("l._row_hash").alias("_row_hash"), F.explode("r._at").alias("_time"))
-    return found.orderBy("_time", "_row_hash").select(*docs.columns)
+
+    def same(keys: list[str]) -> Column:
+        return reduce(and_, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+
+    def among(rows: DataFrame, kind: str) -> DataFrame:
+        return rows.alias("l").join(again.alias("r"), same(key), kind)
+
+    def numbered(rows: DataFrame, order: str) -> DataFrame:
+        return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
+
+    def found(rows: DataFrame, plans: DataFrame, keys: list[str]) -> DataFrame:
+        columns = [F.col(f"l.{c}") for c in [*docs.columns, "_row_hash"]]
+        return rows.alias("l").join(plans.filter(F.size("_at") > 0).alias("r"), same(keys)).select(*columns, F.explode("r._at").alias("_time"))
+
+    if again.isEmpty():
+        taken = found(keyed, planned, key)
+    else:
+        taken = found(among(keyed, "left_anti"), among(planned, "left_anti"), key)
+        repeated = found(numbered(among(keyed, "left_semi"), "_row_hash"), numbered(among(planned, "left_semi"), "_at"), [*key, "_nth"])
+        taken = taken.unionByName(repeated)
+    return taken.orderBy("_time", "_row_hash").select(*docs.columns)
 
 
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

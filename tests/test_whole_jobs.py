@@ -23,3 +23,8 @@ def test_upsert_sees_every_line_and_paper_of_its_sides(spark, sf):
 def test_every_conference_is_matched_reviewed_and_merged(spark, sf, name, column):
     conferences = spark.read.parquet(f"{sf}/customer.parquet").count()
     assert catalogue.queries()[name](spark, sf).filter(f"{column} IS NOT NULL").select(column).distinct().count() == conferences
+
+
+def test_only_counts_are_broadcast_to_find_names_in_titles(spark, sf):
+    plan = catalogue.queries()["contains_join"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 2

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import checkpointed, space_words, stored, table
+from quire.llm.common import checkpointed, small_batches, space_words, stored, table
 from quire.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -58,6 +58,8 @@ HELD = 1 << 20
 SPARE, COMMON = 0.2, 1024
 #: Documents whose filings go out together.
 PIECE = 512
+#: Words whose hashes a task keeps.
+KNOWN = 100_000
 #: Members up to this number are broadcast to the scan of the texts; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -82,7 +84,7 @@ class Shingler:
         tokens = space_words(text)
         if not tokens:
             return np.array([], np.uint64)
-        if len(self.known) > 500_000:
+        if len(self.known) > KNOWN:
             self.known.clear()
         get, new = self.known.get, self._hash
         h = np.array([get(t) or new(t) for t in tokens], np.uint64)
@@ -501,12 +503,13 @@ def spanning(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def join_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, set_key and component_id of every document."""
-    sets = checkpointed(document_sets(docs, words))
-    classes = checkpointed(sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")))
-    head_of = stored(sets.join(classes.filter("n > 1"), "set_key").filter("doc_id != head").select("doc_id", "head").distinct(), "heads")
-    together = stored(filed_together(docs, head_of, words, percent), "together")
-    found = linked_components(docs, together, words, percent)
-    labels = stored(classes.join(found, classes["head"] == found["node"], "left").select("set_key", F.coalesce("component", "head").alias("component")), "classes")
+    with small_batches(docs.sparkSession):
+        sets = checkpointed(document_sets(docs, words))
+        classes = checkpointed(sets.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")))
+        head_of = stored(sets.join(classes.filter("n > 1"), "set_key").filter("doc_id != head").select("doc_id", "head").distinct(), "heads")
+        together = stored(filed_together(docs, head_of, words, percent), "together")
+        found = linked_components(docs, together, words, percent)
+        labels = stored(classes.join(found, classes["head"] == found["node"], "left").select("set_key", F.coalesce("component", "head").alias("component")), "classes")
     return sets.join(labels, "set_key", "left").select("doc_id", "n_shingles", "set_key", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.llm import decontamination, jaccard_join, language_id, license_scan, mixing, quality_rules, secret_scan, sharding, substring_dedup, web_archive
@@ -388,6 +389,26 @@ def test_jaccard_join(edge_docs, edge_rows, no_docs):
     assert jaccard_join.join_components(no_docs).count() == 0
 
 
+def test_jaccard_join_hands_small_batches_to_python(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def watched(df):
+        rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS text").mapInArrow(sizes, "n long")
+        seen.extend(r["n"] for r in rows.collect())
+        return jaccard_join_checkpointed(df)
+
+    jaccard_join_checkpointed = jaccard_join.checkpointed
+    monkeypatch.setattr(jaccard_join, "checkpointed", watched)
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.join_components(df).collect()} == {1}
+    assert sum(seen) >= 2 * 30_000_000 and max(seen) < 6 << 20 and spark.conf.get(key) == before
+
+
 @pytest.mark.parametrize("words, percent, salt, crowd, block", [(4, 85, 7, 1, 7), (5, 80, 512, 16, 1024), (2, 50, 64, 3, 20)])
 def test_jaccard_join_of_many_near_copies(spark, monkeypatch, words, percent, salt, crowd, block):
     monkeypatch.setattr(jaccard_join, "SALT", salt)
